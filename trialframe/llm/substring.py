@@ -276,7 +276,15 @@ def _searched(stretches: DataFrame, width: int) -> DataFrame:
 
 
 def _hot(stretches: DataFrame, width: int) -> DataFrame:
-    """Removed windows of anchors without a bounded shard, by a minimum over equal windows."""
+    """Removed windows of anchors without a bounded shard, by a minimum over equal windows.
+
+    Equal stretches are one first: all but the smallest document's go as a whole.
+    """
+    stretches = stretches.withColumn("same", F.unhex(F.md5("words")))
+    firsts = stretches.groupBy("same").agg(F.min("doc_id").alias("least")).withColumnRenamed("same", "s")
+    tagged = written(stretches.join(firsts, F.col("same") == F.col("s")), "hot")
+    copies = tagged.filter("least < doc_id").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.size(F.split("words", " "))).alias("stop"))
+    stretches = tagged.filter("least = doc_id").dropDuplicates(["same"]).select("anchor", "doc_id", "key", "first", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "words", 1 << 18):
@@ -288,7 +296,7 @@ def _hot(stretches: DataFrame, width: int) -> DataFrame:
 
     every = written(stretches.mapInArrow(run, "window binary, doc_id long, key binary, start int"), "windows")
     least = every.groupBy("window").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return every.join(least, "window").filter("least < doc_id").select("doc_id", "key", "start", (F.col("start") + width).alias("stop"))
+    return copies.union(every.join(least, "window").filter("least < doc_id").select("doc_id", "key", "start", (F.col("start") + width).alias("stop")))
 
 
 def _applied(rows: DataFrame) -> DataFrame:
