@@ -10,7 +10,8 @@ manifest. Reading fetches coalesced byte ranges and checks every chunk, recipe a
 
 ``Encoder`` gives what the library's ``encode`` gives, with a cache: the byte-level
 pre-tokeniser never joins text across a single space between two other characters, so a
-text is cut there, and each distinct piece is encoded once. Texts where a space touches
+text is cut there (and between a piece's letters and what follows them), and each
+distinct part is encoded once. Texts where a space touches
 another white space, or that hold a special token, are encoded whole.
 
 Defined cases: null or empty text: the end id alone. Repeated doc_ids are in an order of
@@ -40,7 +41,9 @@ from .files import create, fetched, swept
 
 ROLL, CUT_BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Pieces that a worker remembers, and that it encodes as one text.
-CACHE, JOINED = 800_000, 500
+CACHE, JOINED = 1_000_000, 500
+#: A piece without apostrophes is cut after its letters, where the next character is ASCII and not a letter: the pre-tokeniser always ends a token there.
+CUT = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<tail>[^A-Za-z'\x{80}-\x{10FFFF}][^']*)$"
 
 
 class Encoder:
@@ -61,59 +64,71 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where the ids of each piece, after a space, are in ``flat``."""
+    def _learn(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _places(self, stems: list[str], tails: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each stem, after a space, and of each tail are in ``flat``. Tails are kept under a leading NUL."""
+        if len(self.known) > CACHE:
+            self._forget()
         known = self.known
-        new = [p for p in pieces if p not in known]
+        new = [p for p in stems if p not in known]
         if new:
-            if len(known) > CACHE:
-                self._forget()
-                known, new = self.known, pieces
-            # many pieces are encoded as one text; a piece has one space, its first character, so its first id tells where it begins
+            # many stems are encoded as one text; a stem has one space, its first character, so its first id tells where it begins
             ids = np.fromiter(chain.from_iterable(self.whole([" " + " ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)])), self.kind)
             first = np.flatnonzero(self.opens[ids])
             if len(first) != len(new):
                 raise ValueError("the vocabulary joins text across a space")
-            sizes = np.diff(np.append(first, len(ids)))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, ids])
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            self._learn(new, ids, np.diff(np.append(first, len(ids))))
+        marked = ["\0" + t for t in tails]
+        new = [t for t in marked if t not in known]
+        if new:
+            ids = self.whole([t[1:] for t in new])
+            self._learn(new, np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.fromiter(map(known.__getitem__, stems), np.int64, len(stems)), np.fromiter(map(known.__getitem__, marked), np.int64, len(marked))
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, one after the other, and their bounds."""
         lists = pc.split_pattern(text, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        codes, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        odd = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.not_equal(pc.utf8_trim_whitespace(coded.dictionary), coded.dictionary))
-        for s in self.special:
-            odd = pc.or_(odd, pc.match_substring(coded.dictionary, s))
-        odd = odd.to_numpy(zero_copy_only=False)
-        slow = np.logical_or.reduceat(odd[codes], bounds[:-1]) if len(text) else np.zeros(0, bool)
+        codes, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        odd = pc.or_(pc.equal(pc.binary_length(pieces), 0), pc.not_equal(pc.utf8_trim_whitespace(pieces), pieces))
+        for s in (*self.special, "\0"):
+            odd = pc.or_(odd, pc.match_substring(pieces, s))
+        slow = np.logical_or.reduceat(odd.to_numpy(zero_copy_only=False)[codes], bounds[:-1]) if len(text) else np.zeros(0, bool)
         doc = np.repeat(np.arange(len(text)), np.diff(bounds))
         head = np.zeros(len(codes), bool)
         head[bounds[:-1]] = True
         use = ~head & ~slow[doc]
         chosen, place = np.unique(codes[use], return_inverse=True)
-        at = self._places([pieces[i] for i in chosen])[place] if len(chosen) else np.zeros(0, np.int64)
+        used = pieces.take(pa.array(chosen))
+        cut = pc.extract_regex(used, CUT)
+        stems = pc.coalesce(pc.struct_field(cut, [0]), used).dictionary_encode()
+        tails = pc.struct_field(cut, [1]).dictionary_encode()
+        stem_at, tail_at = self._places(stems.dictionary.to_pylist(), tails.dictionary.to_pylist())
+        stem_of = stem_at[stems.indices.to_numpy(zero_copy_only=False)] if len(chosen) else np.zeros(0, np.int64)
+        has_tail = tails.indices.is_valid().to_numpy(zero_copy_only=False)
+        tail_of = np.zeros(len(chosen), np.int64)
+        tail_of[has_tail] = tail_at[tails.indices.drop_null().to_numpy()] if has_tail.any() else 0
         # the first piece has no space before it; slow texts are their own first piece
         texts = text.to_pylist()
-        first = self.whole([t if s else pieces[codes[b]] for t, s, b in zip(texts, slow, bounds)])
+        heads = pieces.take(pa.array(codes[bounds[:-1]])).to_pylist()
+        first = self.whole([t if s else h for t, s, h in zip(texts, slow, heads)])
         lone_sizes = np.fromiter(map(len, first), np.int64, len(first))
         lone = np.fromiter(chain.from_iterable(first), self.kind, int(lone_sizes.sum()))
-        sizes = np.zeros(len(codes) + len(text), np.int64)  # of the pieces, and of each end id
-        slot = np.arange(len(codes)) + doc
-        sizes[slot[use]] = self.sizes[at]
-        sizes[slot[head]] = lone_sizes
-        ends = bounds[1:] + np.arange(len(text))
-        sizes[ends] = 1
         pool = np.concatenate([self.flat, lone, np.array([self.end], self.kind)])
-        source = np.zeros(len(sizes), np.int64)
-        source[slot[use]] = self.starts[at]
-        source[slot[head]] = len(self.flat) + np.cumsum(lone_sizes) - lone_sizes
-        source[ends] = len(pool) - 1
+        # slots: of each piece the stem and the tail, and after each document the end id
+        sizes, source = np.zeros(2 * len(codes) + len(text), np.int64), np.zeros(2 * len(codes) + len(text), np.int64)
+        slot = 2 * np.arange(len(codes)) + doc
+        sizes[slot[use]], source[slot[use]] = self.sizes[stem_of][place], self.starts[stem_of][place]
+        sizes[slot[use] + 1], source[slot[use] + 1] = np.where(has_tail, self.sizes[tail_of], 0)[place] if len(chosen) else 0, self.starts[tail_of][place] if len(chosen) else 0
+        sizes[slot[head]], source[slot[head]] = lone_sizes, len(self.flat) + np.cumsum(lone_sizes) - lone_sizes
+        ends = 2 * bounds[1:] + np.arange(len(text))
+        sizes[ends], source[ends] = 1, len(pool) - 1
         total = np.cumsum(sizes)
         ids = pool[np.repeat(source - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)]
         return ids, np.concatenate([[0], total[ends]]).astype(np.int64)
@@ -185,9 +200,9 @@ def write_store(docs: DataFrame, tokenizer: str, end: int) -> Store:
     n = partitions(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(tokenizer, end), zstandard.ZstdCompressor(level=3)
+        enc, pack = encoder(tokenizer, end), zstandard.ZstdCompressor(level=1)
         name, out, at, seen, row = uuid.uuid4().hex, None, 0, set(), TaskContext.get().partitionId() << 33
-        for b in slices(batches, limit=3 << 20):
+        for b in slices(batches, limit=4 << 20):
             out = out or create(f"{folder}/first/{name}")
             ids, bounds = enc(plain(b.column(1)))
             cells: list[list] = [[], [], [], [], []]
