@@ -104,7 +104,10 @@ class Encoder:
         head = np.zeros(len(codes), bool)
         head[bounds[:-1]] = True
         use = ~head & ~slow[doc]
-        chosen, place = np.unique(codes[use], return_inverse=True)
+        needed = np.zeros(len(pieces), bool)
+        needed[codes[use]] = True
+        chosen = np.flatnonzero(needed)
+        place = (np.cumsum(needed) - 1)[codes[use]]
         used = pieces.take(pa.array(chosen))
         cut = pc.extract_regex(used, CUT)
         stems = pc.coalesce(pc.struct_field(cut, [0]), used).dictionary_encode()
