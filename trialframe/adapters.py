@@ -46,7 +46,7 @@ _MESSAGES = ["'(' was never closed", "import * only allowed at module level", "f
 _pick = lambda what, values: "CASE " + what + " " + " ".join("WHEN {} THEN {}".format(i, " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in v.split("\n"))) for i, v in enumerate(values)) + " END"
 ADAPTERS["a_findings"] = (("events",), f"""
 SELECT event_id AS finding_id, user_id AS report_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS ord,
-  {_pick("event_id % 19", _SIGNALS)} AS signal, {_pick("(event_id {{div}} 3) % 12", _MESSAGES)} AS message,
+  {_pick("event_id % 19", _SIGNALS)} AS signal, {_pick("(event_id {div} 3) % 12", _MESSAGES)} AS message,
   CASE WHEN event_id % 19 = 18 THEN 'advisory' ELSE 'correctness' END AS technique, CASE event_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   concat('m', CAST(event_id % 5 AS VARCHAR(9)), '.py') AS file, CAST(event_id % 11 AS BIGINT) AS line, CAST(1 + event_id % 3 AS BIGINT) AS occurrences, event_id % 2 = 0 AS is_before
 FROM events""")
