@@ -21,7 +21,7 @@ def rate(num: Column | str, den: Column | str) -> Column:
 def rate_text(num: Column | str, den: Column | str) -> Column:
     """K9: "24.2% (29/120)", or "not available"."""
     num, den = col(num).cast("long"), col(den).cast("long")
-    return F.coalesce(F.format_string("%.1f%% (%d/%d)", rate(num, den), num, den), F.lit("not available"))
+    return F.when(rate(num, den).isNull(), "not available").otherwise(F.format_string("%.1f%% (%d/%d)", rate(num, den), num, den))
 
 
 def band(percent: Column | str) -> Column:
