@@ -1 +1,68 @@
-"""Queries."""
+"""Queries of groups 2.7 and 2.8: text, code and values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scanners as sc
+from ..functions import text as t
+from ..functions import values as v
+from ..registry import query
+
+q = lambda s: "'" + s.replace("'", "''") + "'"
+_BOX = "concat('intro', chr(10), '```python', chr(10), 'def f', cast(file_id as varchar(19)), '(): pass', chr(10), '```', chr(10), 'mid', chr(10), '```', chr(10), 'x = 1', chr(10), '```')"
+query("t1_last_python", "a_files", lambda f: f.select("file_id", F.expr(_BOX).alias("x")).select("file_id", sc.as_column(lambda x: sc.last_python(x)[0], "string", "x").alias("code")), "SELECT file_id, 'x = 1' AS code FROM a_files")
+query("t2_best_def", "a_files", lambda f: f.select("file_id", F.expr(_BOX).alias("x")).select("file_id", t.best_block("x").alias("code")), "SELECT file_id, 'def f' || file_id || '(): pass' || chr(10) AS code FROM a_files")
+query("t3_named_files", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(f"concat('### File: a.py', chr(10), {_BOX})").alias("content")), sc.named_files, "path string, body string"), "SELECT file_id, 'a.py' AS path, unnest(['def f' || file_id || '(): pass', 'x = 1']) AS body FROM a_files")
+query("t4_repaired", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(f"concat('### File: ./a.py', chr(10), {_BOX})").alias("content")), lambda x: list(sc.repaired_files(x).items()), "path string, body string"), "SELECT file_id, 'a.py' AS path, 'x = 1' AS body FROM a_files")
+query("t5_legacy_block", "a_files", lambda f: f.select("file_id", F.expr(f"if(file_id % 2 = 0, {_BOX}, path)").alias("x")).select("file_id", t.last_block("x").alias("code")), "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'x = 1' || chr(10) ELSE path END AS code FROM a_files")
+_I = "concat('intro', chr(10), CASE WHEN file_id % 2 = 0 THEN concat('Name: g', cast(file_id as varchar(19)), chr(10)) ELSE '' END, 'signature: (x)', chr(10), 'def h', cast(file_id as varchar(19)), '(x):')"
+query("t6_interface", "a_files", lambda f: f.select("file_id", F.expr(_I).alias("x")).select("file_id", t.interface("x")[0].alias("name"), t.interface("x")[1].alias("signature")), "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'g' ELSE 'h' END || file_id AS name, '(x)' AS signature FROM a_files")
+query("t7_examples", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr("concat('>>> f(', file_id, ')', chr(10), '3', chr(10), 'f(1) == 2', chr(10), 'f(1) -> 5')").alias("content")), sc.examples, "input string, output string"), "SELECT file_id, unnest(['f(' || file_id || ')', 'f(1)']) AS input, unnest(['3', '2']) AS output FROM a_files")
+query("t8_test_hash", "a_files", lambda f: f.select("file_id", t.test_hash(F.concat(F.replace("content", F.lit("\n"), F.lit("\r\n")), F.lit(" \n"))).alias("h")), "SELECT file_id, sha256(regexp_replace(content, '\\s+$', '')) AS h FROM a_files")
+query("t9_split_hash", "a_files", lambda f: f.select("file_id", t.split_hash("content").alias("h")), "SELECT file_id, sha256(trim(regexp_replace(content, '[ \\t\\r\\f\\v]+\\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10)) AS h FROM a_files")
+query("t10_test_count", "a_files", lambda f: f.select("file_id", t.test_count(F.concat("content", F.expr("repeat('def test_a (x):', cast(file_id % 4 as int))"))).alias("n")), "SELECT file_id, file_id % 4 AS n FROM a_files")
+_M = lambda k: (lambda f: f.select("file_id", t.line_metrics(F.concat("content", F.lit("\n# x\n")))[0].alias("n"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[1].alias("comments"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[2].alias("pct")))
+query("t11_line_metrics", "a_files", _M(0), "SELECT file_id, n, c AS comments, ((2000 * c + n) // (2 * n)) / 10.0 AS pct FROM (SELECT file_id, count(*) AS n, count(*) FILTER (regexp_matches(l, '^\\s*#')) AS c FROM (SELECT file_id, unnest(string_split(content || chr(10) || '# x' || chr(10), chr(10))) AS l FROM a_files) WHERE regexp_matches(l, '\\S') GROUP BY file_id)")
+_CODE = "concat('import os', chr(10), 'def f(x):', chr(10), '    if x and ', file_id, ':', chr(10), '        return g(x)', chr(10))"
+query("t12_complexity", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), lambda c: [sc.complexity(c)], "mean double, most long, calls long, imports long"), "SELECT file_id, 3.0::DOUBLE AS mean, 3::BIGINT AS most, 1::BIGINT AS calls, 1::BIGINT AS imports FROM a_files")
+query("t14_line_diff", "a_files", lambda f: sc.scanned(f.filter("length(content) < 2000"), lambda c: [sc.line_diff(c, "first\n" + c + "\nlast")], "added long, removed long, same long"), "SELECT file_id, CASE WHEN content = '' THEN 3 ELSE 2 END::BIGINT AS added, 0::BIGINT AS removed, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END::BIGINT AS same FROM a_files WHERE length(content) < 2000")
+query("t15_functions", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), lambda c: [(x["name"], x["line"], x["end_line"], x["has_return"]) for x in sc.functions_of(c)], "name string, line long, end_line long, has_return boolean"), "SELECT file_id, 'f' AS name, 2::BIGINT AS line, 4::BIGINT AS end_line, true AS has_return FROM a_files")
+_LINES = "(SELECT file_id, path, n::BIGINT AS n, l AS line FROM (SELECT file_id, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {}))"
+_hits = lambda rules: "unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(line, {q(p)})" + (f" AND NOT regexp_matches(line, {q(o)})" if o and not o.startswith('CWE') else "") + f" THEN {q(n)} END" for n, p, o in rules) + "], lambda x: x IS NOT NULL)) AS title"
+query("t16_secret_lines", "a_files", lambda f: t.line_findings(t.line_table(f), t.SECRETS), f"SELECT file_id, n, {_hits(t.SECRETS)} FROM {_LINES.format('a_files')}")
+_PY = "concat(content, chr(10), CASE file_id % 5 WHEN 0 THEN 'try: x' WHEN 1 THEN 'except:  # noqa' WHEN 2 THEN 'y = eval(z)  # TODO x' WHEN 3 THEN 'def f(a=[]): print(1)' ELSE 'f = open(p); yaml.load(s)' END)"
+_FILES = f"(SELECT file_id, path, {_PY} AS content FROM a_files)"
+query("t17_line_rules", "a_files", lambda f: t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES), f"SELECT file_id, n, {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)}")
+query("t21_matrix", "a_files", lambda f: t.technique_matrix(t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES), tuple(r[0] for r in t.LINE_RULES)), f"SELECT r AS title, count(title) AS n, CASE WHEN count(title) = 0 THEN 'PASS' ELSE 'FINDINGS' END AS status FROM (SELECT unnest([{', '.join(q(r[0]) for r in t.LINE_RULES)}]) AS r) LEFT JOIN (SELECT {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)}) ON r = title GROUP BY r")
+_DEP = "concat(CASE file_id % 4 WHEN 0 THEN 'numpy>=1.2' WHEN 1 THEN 'numpy>=1.2,<2' WHEN 2 THEN 'pandas==1.*' ELSE 'x==1.0' END, '')"
+query("t18_dependencies", "a_files", lambda f: t.floating_dependencies(t.line_table(f.select("file_id", F.expr("if(file_id % 3 = 0, 'a/requirements-dev.txt', path)").alias("path"), F.expr(_DEP).alias("content")))), "SELECT file_id, 1::BIGINT AS n, CASE file_id % 4 WHEN 0 THEN 'numpy' ELSE 'pandas' END AS name, CASE file_id % 4 WHEN 0 THEN 'floating' ELSE 'wildcard' END AS kind FROM a_files WHERE file_id % 3 = 0 AND file_id % 4 IN (0, 2)")
+_LOOP = "concat('for x in y:', repeat(concat(chr(10), '  pass'), cast(file_id % 10 as int)), chr(10), '  db.query(x)', chr(10), 's += ''a''', chr(10), 's += ''b''')"
+query("t19_loop_queries", "a_files", lambda f: t.loop_queries(t.line_table(f.withColumn("content", F.expr(_LOOP)))), "SELECT file_id, 1::BIGINT AS n FROM a_files WHERE file_id % 10 < 8")
+query("t19_loop_strings", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_LOOP).alias("content")), sc.loop_concatenations, "line long"), "SELECT file_id, 3 + file_id % 10 AS line FROM a_files")
+query("t20_function_rules", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), sc.function_findings, "title string, line long"), "SELECT file_id, unnest(['Missing return type', 'Untyped parameters']) AS title, 2::BIGINT AS line FROM a_files")
+query("t22_rendered", "a_files", lambda f: f.select("file_id", sc.as_column(lambda p: sc.render("see {path} {other}", {"path": p}, ("path",)), "string", "path").alias("text")), "SELECT file_id, 'see ' || path || ' {other}' AS text FROM a_files")
+query("t23_feedback", "a_findings", lambda f: f.groupBy("report_id").agg(F.bool_or("signal = 'timeout' and ord < 9").alias("late") if False else F.bool_or((F.col("signal") == "timeout") & (F.col("ord") < 9)).alias("late"), F.array_sort(F.collect_list(F.when((F.col("severity") == "CRITICAL") & (F.col("ord") < 9), F.struct("ord", "message")))).alias("e")).select("report_id", t.feedback(F.col("late"), F.transform("e", lambda x: x["message"])).alias("text")),
+      "SELECT report_id, CASE WHEN bool_or(signal = 'timeout' AND ord < 9) THEN 'The execution of the code has exceeded the time limit' WHEN count(*) FILTER (severity = 'CRITICAL' AND ord < 9) > 0 THEN array_to_string(list_slice(list(message ORDER BY ord) FILTER (severity = 'CRITICAL' AND ord < 9), 1, 3), chr(10) || chr(10)) ELSE 'The functionality of code is incorrect' END AS text FROM a_findings GROUP BY report_id")
+query("t24_prompt", "a_files", lambda f: f.select("file_id", sc.as_column(lambda p: sc.prompt_blocks("full", {"evidence": [p, p, p, p], "category": ["C.1"]}), "string", "path").alias("text")), "SELECT file_id, '<evidence>' || chr(10) || path || chr(10) || path || chr(10) || path || chr(10) || '</evidence>' || chr(10) || chr(10) || '<category>' || chr(10) || 'C.1' || chr(10) || '</category>' AS text FROM a_files")
+query("t25_redacted", "a_files", lambda f: f.select("file_id", t.redacted("path", ["d1", "d12", ".py"]).alias("path")), "SELECT file_id, replace(replace(replace(path, '.py', '[REDACTED]'), 'd12', '[REDACTED]'), 'd1', '[REDACTED]') AS path FROM a_files")
+query("t26_exposures", "a_files benchmark", lambda f, b: sc.exposures(f, b.select(F.col("item_id").alias("token_id"), F.col("text").alias("token"))), "SELECT file_id, item_id AS token_id FROM a_files JOIN benchmark ON contains(content, benchmark.text)")
+query("t27_envelope", "a_files", lambda f: f.select("file_id", F.expr("concat('reply: {\"a\": [', file_id, ', {\"b\": \"x')").alias("x")).select("file_id", sc.as_column(sc.closed_json, "string", "x").alias("json")), "SELECT file_id, '{\"a\": [' || file_id || ', {\"b\": \"x\"}]}' AS json FROM a_files")
+query("t28_trimmed", "a_files", lambda f: f.select("file_id", t.trimmed("content", 5, 2).alias("x")).select("file_id", F.sha2("x", 256).alias("h")), "SELECT file_id, sha256(CASE WHEN len(l) <= 5 THEN content ELSE array_to_string(l[1:2] || ['...'] || l[-2:], chr(10)) END) AS h FROM (SELECT file_id, content, string_split(content, chr(10)) AS l FROM a_files)")
+query("t29_snippet", "a_files", lambda f: f.select("file_id", t.snippet("content", F.lit(2), 1).alias("x")), "SELECT file_id, CASE WHEN len(l) >= 2 THEN '     1 | ' || l[1] || chr(10) || '>    2 | ' || l[2] || CASE WHEN len(l) >= 3 THEN chr(10) || '     3 | ' || l[3] ELSE '' END END AS x FROM (SELECT file_id, string_split(content, chr(10)) AS l FROM a_files)")
+_P = "concat('=== ', CASE WHEN file_id % 3 > 0 THEN concat(cast(file_id % 7 as varchar(9)), ' passed, ') ELSE '' END, CASE WHEN file_id % 2 > 0 THEN concat(cast(file_id % 5 as varchar(9)), ' failed') ELSE '' END)"
+query("t30_pytest", "a_files", lambda f: f.select("file_id", F.expr(_P).alias("x")).select("file_id", t.pytest_counts("x")[0].alias("passed"), t.pytest_counts("x")[1].alias("failed"), t.pytest_counts("x")[2].alias("pct")), "SELECT file_id, p AS passed, f AS failed, CASE WHEN p + f > 0 THEN ((2000 * p + p + f) // (2 * (p + f))) / 10.0 END AS pct FROM (SELECT file_id, CASE WHEN file_id % 3 > 0 THEN file_id % 7 ELSE 0 END AS p, CASE WHEN file_id % 2 > 0 THEN file_id % 5 ELSE 0 END AS f FROM a_files)")
+query("t31_mypy", "a_files", lambda f: f.select("file_id", F.expr("concat(path, ':', file_id, if(file_id % 2 = 0, ': error: bad [x]', ': note: y'))").alias("x")).select("file_id", t.mypy_line("x")[1].alias("line"), t.mypy_line("x")[2].alias("message")), "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN file_id END AS line, CASE WHEN file_id % 2 = 0 THEN 'bad [x]' END AS message FROM a_files")
+query("t32_collected", "a_files", lambda f: f.select("file_id", F.expr("case file_id % 4 when 0 then 'collected 7 items' when 1 then '9 items collected' when 2 then 'a.py::test_x b.py::test_y' else 'def test_a(): def test_b(): def test_c():' end").alias("x")).select("file_id", t.collected("x").alias("n")), "SELECT file_id, CASE file_id % 4 WHEN 0 THEN 7 WHEN 1 THEN 9 WHEN 2 THEN 2 ELSE 3 END::BIGINT AS n FROM a_files")
+query("t33_truncated", "a_files", lambda f: f.select("file_id", F.expr("concat('{\"k\": [1, ', file_id, ',')").alias("x")).select("file_id", sc.as_column(sc.closed_json, "string", "x").alias("json")), "SELECT file_id, '{\"k\": [1, ' || file_id || ']}' AS json FROM a_files")
+query("t34_sources", "a_files", lambda f: f.select("file_id", sc.as_column(lambda p: sc.prompt_blocks("dou", {"critique": [p], "feedback": []}), "string", "path").alias("text")), "SELECT file_id, '<critique>' || chr(10) || path || chr(10) || '</critique>' AS text FROM a_files")
+query("s16_non_finite", "a_runs", lambda d: d.select("run_id", F.get_json_object(t.whole_json(F.expr("concat('{\"a\": ', if(n % 2 = 0, 'NaN', string(n)), ', \"b\": \"NaN\"}')")), "$.a").alias("a")), "SELECT run_id, CASE WHEN n % 2 = 1 THEN n::VARCHAR END AS a FROM a_runs")
+
+_A, _B = "concat('[', file_id % 3, ', 1.0, (2,)]')", "concat('[', file_id % 2, ', 1, (2,)]')"
+_pair = lambda f: f.select("file_id", F.expr(_A).alias("a"), F.expr(_B).alias("b"))
+query("v1_equivalent", "a_files", lambda f: _pair(f).select("file_id", v.compared(v.equivalent, "a", "b").alias("same")), "SELECT file_id, file_id % 3 = file_id % 2 AS same FROM a_files")
+query("v2_normalized", "a_files", lambda f: f.select("file_id", F.expr("concat('[1, ', file_id % 3, ']')").alias("a"), F.lit("('2', 1.0)").alias("b")).select("file_id", v.compared(v.equal_after_normalization, "a", "b").alias("same")), "SELECT file_id, file_id % 3 = 2 AS same FROM a_files")
+query("v3_rounding", "a_files", lambda f: f.select("file_id", F.expr("concat('2.34', file_id % 10)").alias("a"), F.lit("2.35").alias("b")).select("file_id", v.compared(v.rounding_equal, "a", "b").alias("same")), "SELECT file_id, file_id % 10 >= 5 AS same FROM a_files")
+query("v4_source", "a_files", lambda f: f.select("file_id", F.expr("concat('{3, ', file_id % 9 + 10, ', 1}')").alias("a")).select("file_id", sc.as_column(lambda x: v.to_source(v.from_source(x)), "string", "a").alias("source")), "SELECT file_id, '{1, ' || (file_id % 9 + 10) || ', 3}' AS source FROM a_files")
+query("v5_differential", "a_files", lambda f: v.differential(f.filter("file_id % 4 > 0").select(F.col("file_id").alias("input"), F.col("path").alias("output")), f.filter("file_id % 5 > 0").select(F.col("file_id").alias("input"), F.expr("if(file_id % 3 = 0, '<KeyError>', path)").alias("output"))).select("input"), "SELECT file_id AS input FROM a_files WHERE file_id % 4 > 0 AND file_id % 5 = 0 OR file_id % 5 > 0 AND (file_id % 4 = 0 OR file_id % 3 = 0)")
+query("c10_functional_kind", "a_files", lambda f: v.functional_kind(f.select((F.col("file_id") % 60).alias("report_id"), F.expr("if(file_id % 20 = 3, null, '1.0')").alias("actual"), F.expr("if(file_id % 7 = 2, '3', '\"1\"')").alias("expected"))), "SELECT r AS report_id, CASE WHEN r % 20 = 3 THEN 'unextractable' WHEN bool_or(file_id % 7 = 2) THEN 'logic' ELSE 'format' END AS kind FROM (SELECT file_id, file_id % 60 AS r FROM a_files) GROUP BY r")
