@@ -33,7 +33,8 @@ def rsr_list(json: Column | str) -> Column:
 
 def page(entries: DataFrame, number: int, size: int = PAGE, order: str = "ord") -> DataFrame:
     """K4: the rows of a page, from 1, of one log in order of writing; none beyond the last."""
-    return entries.withColumn("row", F.row_number().over(Window.orderBy(order)).cast("long")).filter(F.col("row").between((number - 1) * size + 1, number * size))
+    first = entries.orderBy(order).limit(number * size)  # a top-n; only these rows are numbered
+    return first.withColumn("row", F.row_number().over(Window.orderBy(order)).cast("long")).filter(F.col("row") > (number - 1) * size)
 
 
 def tail(lines: DataFrame, size: int = TAIL, order: str = "ord") -> DataFrame:
