@@ -11,7 +11,7 @@ from ..registry import query
 
 query("k1_listed", "a_runs", lambda d: k.listed(d).select("run_id", "place"), "SELECT run_id, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS place FROM a_runs WHERE regexp_matches(run_id, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,99}$')")
 query("k2_status", "a_runs", lambda d: d.select("run_id", k.status().alias("status")), "SELECT run_id, CASE WHEN active THEN 'running' WHEN sidecar IS NOT NULL THEN sidecar WHEN completed THEN 'completed' WHEN has_summary THEN 'legacy' ELSE 'unknown' END AS status FROM a_runs")
-query("k3_rsr_list", "a_runs", lambda d: d.select("run_id", F.size(k.rsr_list(F.concat(F.lit('[{"iteration":1,"num":'), F.expr("if(n % 3 = 0, 'null', string(n))"), F.lit(',"den":30}]')))).alias("n")))
+query("k3_rsr_list", "a_runs", lambda d: d.select("run_id", F.size(k.rsr_list(F.concat(F.lit('[{"iteration":1,"num":'), F.expr("if(n % 3 = 0, 'null', string(n))"), F.lit(',"den":30}]')))).cast("long").alias("n")), "SELECT run_id, CASE WHEN n % 3 = 0 THEN NULL ELSE 1::BIGINT END AS n FROM a_runs")
 query("k4_page", "a_findings", lambda f: k.page(f.filter("report_id = 7"), 2, 10).select("finding_id", "row"), "SELECT finding_id, ord AS row FROM a_findings WHERE report_id = 7 AND ord BETWEEN 11 AND 20")
 query("k5_tail", "a_findings", lambda f: k.tail(f.select("finding_id"), 200, "finding_id"), "SELECT finding_id FROM a_findings ORDER BY 1 DESC LIMIT 200")
 query("k7_warnings", "a_runs", lambda d: k.warnings(d, ("model", "regime", "seed", "k")), "SELECT field, string_agg(v, ', ' ORDER BY v) AS \"values\" FROM (SELECT DISTINCT field, coalesce(nullif(trim(v), ''), 'not available') AS v FROM (SELECT unnest(['model', 'regime', 'seed', 'k']) AS field, unnest([model, regime, seed::VARCHAR, k::VARCHAR]) AS v FROM a_runs)) GROUP BY field HAVING count(*) > 1")

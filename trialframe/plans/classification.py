@@ -51,6 +51,6 @@ query("c12_stdlib", "a_findings", lambda f: f.filter(F.regexp_extract("message",
 _DIST = f"(SELECT DISTINCT report_id, category, file, line, message FROM {FOUND} WHERE category IS NOT NULL)"
 query("c13_bug_report", "a_findings", lambda f: c.bug_report(c.classified(f).filter("category is not null")).select("report_id", "total", "type_a", "type_b", "type_c", F.size("by_category").cast("long").alias("categories")), f"SELECT report_id, count(*) AS total, count(*) FILTER (category LIKE 'A%') AS type_a, count(*) FILTER (category LIKE 'B%') AS type_b, count(*) FILTER (category LIKE 'C%') AS type_c, count(DISTINCT category) AS categories FROM {_DIST} GROUP BY report_id")
 query("c14_optimization", "a_findings", lambda f: c.optimization(f.filter("is_before"), f.filter("not is_before and ord % 3 = 0")), "SELECT report_id, b AS n_before, a AS n_after, greatest(0, b - a) AS fixed, CASE WHEN b > 0 THEN ((2000 * greatest(0, b - a) + b) // (2 * b)) / 10.0 END AS pct_fixed, CASE WHEN b > 0 THEN CASE WHEN a = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END END AS rsr FROM (SELECT report_id, count(*) FILTER (is_before) AS b, count(*) FILTER (NOT is_before AND ord % 3 = 0) AS a FROM a_findings GROUP BY report_id) WHERE a + b > 0")
-query("c15_winner", "a_problem_runs", lambda p: p.select("task_id", c.winner("passed_round", "b", "total_duration_ms", "t").alias("winner")) if "b" in p.columns else p.withColumn("b", F.expr("cast(task_id % 4 - 1 as long)")).withColumn("t", F.lit(3000)).select("task_id", c.winner("passed_round", "b", "total_duration_ms", "t").alias("winner")),
+query("c15_winner", "a_problem_runs", lambda p: p.withColumn("b", F.expr("cast(task_id % 4 - 1 as long)")).withColumn("t", F.lit(3000)).select("task_id", c.winner("passed_round", "b", "total_duration_ms", "t").alias("winner")),
       "SELECT task_id, CASE WHEN x = 0 OR y = 0 THEN 'tie' WHEN l < m THEN 'a' WHEN m < l THEN 'b' WHEN d < 3000 THEN 'a' WHEN d > 3000 THEN 'b' ELSE 'tie' END AS winner FROM (SELECT task_id, passed_round AS x, task_id % 4 - 1 AS y, total_duration_ms AS d, CASE WHEN passed_round < 0 THEN 99 ELSE passed_round END AS l, CASE WHEN task_id % 4 = 0 THEN 99 ELSE task_id % 4 - 1 END AS m FROM a_problem_runs)")
 query("c16_token_estimate", "a_calls", lambda x: x.select("conv_id", "turn", c.token_estimate("text", "phase").alias("tokens")), "SELECT conv_id, turn, ((length(text) + length(phase) + 3) // 4)::BIGINT AS tokens FROM a_calls")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rates import band
 from ..operators import relational as r
+from ..operators.classify import distinct_first
 from ..registry import query
 from ..taxonomy import REFERENCE_ROWS
 
@@ -24,7 +26,7 @@ query("p11_issues", "a_findings", lambda f: r.flat_issues(f.groupBy("report_id")
       "SELECT report_id, ord - 1 AS t_no, technique || ': ' || substr(message, 1, 75) AS title, CASE WHEN line < 6 THEN severity WHEN line = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN line > 2 THEN file ELSE 'project' END AS file FROM a_findings")
 query("p12_score", "a_findings", lambda f: f.groupBy("report_id").agg(F.collect_list(F.expr(_ST)).alias("s")).select("report_id", r.round_score("s", "report_id", "report_id").alias("score")), f"SELECT report_id, floor(100.0::DOUBLE * count(*) FILTER ({_ST} = 'PASS') / count(*) + 0.5)::BIGINT AS score FROM a_findings GROUP BY report_id")
 query("p13_fallback", "a_steps", lambda s: s.select("task_id", F.coalesce(F.expr("CASE WHEN n > 2 THEN s2 END"), F.expr("CASE WHEN n > 1 THEN s1 END"), "s0").alias("state")), "SELECT task_id, s2 AS state FROM a_steps")
-query("p14_bands", "a_steps", lambda s: s.select("task_id", __import__("trialframe.functions.rates", fromlist=["band"]).band(F.expr("CASE WHEN task_id % 9 > 0 THEN task_id % 100 END")).alias("band")), "SELECT task_id, CASE WHEN task_id % 9 = 0 THEN 'none' WHEN task_id % 100 >= 80 THEN 'high' WHEN task_id % 100 >= 50 THEN 'medium' ELSE 'low' END AS band FROM a_steps")
+query("p14_bands", "a_steps", lambda s: s.select("task_id", band(F.expr("CASE WHEN task_id % 9 > 0 THEN task_id % 100 END")).alias("band")), "SELECT task_id, CASE WHEN task_id % 9 = 0 THEN 'none' WHEN task_id % 100 >= 80 THEN 'high' WHEN task_id % 100 >= 50 THEN 'medium' ELSE 'low' END AS band FROM a_steps")
 query("p15_explanations", "a_findings", lambda f: f.select("finding_id", r.explanation().alias("kind")), "SELECT finding_id, CASE WHEN contains(m, 'syntax') THEN 'syntax' WHEN contains(m, 'import') THEN 'import' WHEN contains(m, 'nameerror') THEN 'undefined name' WHEN contains(m, 'typeerror') THEN 'type' WHEN contains(m, 'indexerror') THEN 'index' WHEN contains(m, 'recursion') THEN 'recursion' WHEN contains(m, 'assert') THEN 'assertion' WHEN contains(m, 'timeout') THEN 'timeout' ELSE 'other' END AS kind FROM (SELECT finding_id, lower(message) AS m FROM a_findings)")
 query("p16_verified", "a_problem_runs", lambda p: p.agg(F.count_if(F.expr("CASE WHEN passed THEN 'Verified' ELSE 'no' END").contains("Verified")).alias("n")), "SELECT count(*) FILTER (passed) AS n FROM a_problem_runs")
 query("p17_path_tree", "a_files", r.path_tree, f"SELECT node, depth, min(file_id) AS file_id FROM (SELECT array_to_string(p[1:d], '/') AS node, d AS depth, CASE WHEN d = len(p) THEN file_id END AS file_id FROM (SELECT file_id, p, unnest(range(1, len(p) + 1)) AS d FROM (SELECT file_id, string_split({_NORM}, '/') AS p FROM a_files))) GROUP BY ALL")
@@ -37,7 +39,7 @@ _REF = ", ".join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE, true)" for a, x, y in REFER
 query("j8_ablation", "a_runs", lambda d: r.ablation(d.filter("n < 4").select("run_id", F.col("n").cast("double").alias("rsr1"), F.col("k").cast("double").alias("rsr2"))), f"SELECT run_id, n::DOUBLE AS rsr1, k::DOUBLE AS rsr2, false AS published FROM a_runs WHERE n < 4 UNION ALL SELECT * FROM (VALUES {_REF})")
 query("x1_accounting", "a_findings", lambda f: r.accounting(f.filter("is_before"), f.filter("not is_before"), "report_id", ["signal", "file"]), "SELECT report_id, sum(b)::BIGINT AS found, sum(least(a, b))::BIGINT AS remaining, sum(greatest(0, b - a))::BIGINT AS resolved, sum(greatest(0, a - b))::BIGINT AS introduced FROM (SELECT report_id, count(*) FILTER (is_before) AS b, count(*) FILTER (NOT is_before) AS a FROM a_findings GROUP BY report_id, signal, file) GROUP BY report_id")
 query("x2_category_changes", "a_findings", lambda f: r.category_changes(f.filter("is_before and ord < 20").withColumnRenamed("signal", "category"), f.filter("not is_before and ord < 20").withColumnRenamed("signal", "category"), "report_id"), "SELECT report_id, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT b), '') AS introduced, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT a), '') AS resolved FROM (SELECT report_id, signal, bool_or(is_before) AS b, bool_or(NOT is_before) AS a FROM a_findings WHERE ord < 20 GROUP BY ALL) GROUP BY report_id")
-query("x3_distinct_first", "a_findings", lambda f: __import__("trialframe.operators.classify", fromlist=["distinct_first"]).distinct_first(f, ["signal", "file", "line", "message"], "report_id").select("finding_id"), "SELECT arg_min(finding_id, ord) AS finding_id FROM a_findings GROUP BY report_id, signal, file, line, message")
+query("x3_distinct_first", "a_findings", lambda f: distinct_first(f, ["signal", "file", "line", "message"], "report_id").select("finding_id"), "SELECT arg_min(finding_id, ord) AS finding_id FROM a_findings GROUP BY report_id, signal, file, line, message")
 query("x5_history", "a_findings", lambda f: r.history(f, "message", "finding_id"), "SELECT message, max(finding_id) AS finding_id FROM a_findings GROUP BY message ORDER BY 2 DESC LIMIT 30")
 query("x6_merged", "a_states", lambda s: r.merged(s.withColumn("source", F.lit(0)).unionByName(s.filter("event_id % 3 = 0").withColumn("state", F.lit("Z")).withColumn("source", F.lit(1))), ["task_id", "i"], "source", "state"), "SELECT task_id, i, CASE WHEN event_id % 3 = 0 THEN 'Z' ELSE state END AS state FROM a_states")
 query("x7_missing", "a_states", lambda s: r.missing_iterations(s.groupBy("task_id").agg(F.max("i").alias("done"), F.collect_list(F.expr("CASE WHEN event_id % 2 = 0 THEN i END")).alias("seen")), "done", "seen"), "SELECT task_id, coalesce(string_agg(i, ',' ORDER BY i) FILTER (i > 0 AND event_id % 2 = 1), '') AS missing FROM a_states GROUP BY task_id")

@@ -22,8 +22,8 @@ query("t7_examples", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(
 query("t8_test_hash", "a_files", lambda f: f.select("file_id", t.test_hash(F.concat(F.replace("content", F.lit("\n"), F.lit("\r\n")), F.lit(" \n"))).alias("h")), "SELECT file_id, sha256(regexp_replace(content, '\\s+$', '')) AS h FROM a_files")
 query("t9_split_hash", "a_files", lambda f: f.select("file_id", t.split_hash("content").alias("h")), "SELECT file_id, sha256(trim(regexp_replace(content, '[ \\t\\r\\f\\v]+\\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10)) AS h FROM a_files")
 query("t10_test_count", "a_files", lambda f: f.select("file_id", t.test_count(F.concat("content", F.expr("repeat('def test_a (x):', cast(file_id % 4 as int))"))).alias("n")), "SELECT file_id, file_id % 4 AS n FROM a_files")
-_M = lambda k: (lambda f: f.select("file_id", t.line_metrics(F.concat("content", F.lit("\n# x\n")))[0].alias("n"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[1].alias("comments"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[2].alias("pct")))
-query("t11_line_metrics", "a_files", _M(0), "SELECT file_id, n, c AS comments, ((2000 * c + n) // (2 * n)) / 10.0 AS pct FROM (SELECT file_id, count(*) AS n, count(*) FILTER (regexp_matches(l, '^\\s*#')) AS c FROM (SELECT file_id, unnest(string_split(content || chr(10) || '# x' || chr(10), chr(10))) AS l FROM a_files) WHERE regexp_matches(l, '\\S') GROUP BY file_id)")
+_M = lambda f: f.select("file_id", t.line_metrics(F.concat("content", F.lit("\n# x\n")))[0].alias("n"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[1].alias("comments"), t.line_metrics(F.concat("content", F.lit("\n# x\n")))[2].alias("pct"))
+query("t11_line_metrics", "a_files", _M, "SELECT file_id, n, c AS comments, ((2000 * c + n) // (2 * n)) / 10.0 AS pct FROM (SELECT file_id, count(*) AS n, count(*) FILTER (regexp_matches(l, '^\\s*#')) AS c FROM (SELECT file_id, unnest(string_split(content || chr(10) || '# x' || chr(10), chr(10))) AS l FROM a_files) WHERE regexp_matches(l, '\\S') GROUP BY file_id)")
 _CODE = "concat('import os', chr(10), 'def f(x):', chr(10), '    if x and ', file_id, ':', chr(10), '        return g(x)', chr(10))"
 query("t12_complexity", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), lambda c: [sc.complexity(c)], "mean double, most long, calls long, imports long"), "SELECT file_id, 3.0::DOUBLE AS mean, 3::BIGINT AS most, 1::BIGINT AS calls, 1::BIGINT AS imports FROM a_files")
 query("t14_line_diff", "a_files", lambda f: sc.scanned(f.filter("length(content) < 2000"), lambda c: [sc.line_diff(c, "first\n" + c + "\nlast")], "added long, removed long, same long"), "SELECT file_id, CASE WHEN content = '' THEN 3 ELSE 2 END::BIGINT AS added, 0::BIGINT AS removed, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END::BIGINT AS same FROM a_files WHERE length(content) < 2000")
@@ -42,7 +42,7 @@ query("t19_loop_queries", "a_files", lambda f: t.loop_queries(t.line_table(f.wit
 query("t19_loop_strings", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_LOOP).alias("content")), sc.loop_concatenations, "line long"), "SELECT file_id, 3 + file_id % 10 AS line FROM a_files")
 query("t20_function_rules", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), sc.function_findings, "title string, line long"), "SELECT file_id, unnest(['Missing return type', 'Untyped parameters']) AS title, 2::BIGINT AS line FROM a_files")
 query("t22_rendered", "a_files", lambda f: f.select("file_id", sc.as_column(lambda p: sc.render("see {path} {other}", {"path": p}, ("path",)), "string", "path").alias("text")), "SELECT file_id, 'see ' || path || ' {other}' AS text FROM a_files")
-query("t23_feedback", "a_findings", lambda f: f.groupBy("report_id").agg(F.bool_or("signal = 'timeout' and ord < 9").alias("late") if False else F.bool_or((F.col("signal") == "timeout") & (F.col("ord") < 9)).alias("late"), F.array_sort(F.collect_list(F.when((F.col("severity") == "CRITICAL") & (F.col("ord") < 9), F.struct("ord", "message")))).alias("e")).select("report_id", t.feedback(F.col("late"), F.transform("e", lambda x: x["message"])).alias("text")),
+query("t23_feedback", "a_findings", lambda f: f.groupBy("report_id").agg(F.bool_or((F.col("signal") == "timeout") & (F.col("ord") < 9)).alias("late"), F.array_sort(F.collect_list(F.when((F.col("severity") == "CRITICAL") & (F.col("ord") < 9), F.struct("ord", "message")))).alias("e")).select("report_id", t.feedback(F.col("late"), F.transform("e", lambda x: x["message"])).alias("text")),
       "SELECT report_id, CASE WHEN bool_or(signal = 'timeout' AND ord < 9) THEN 'The execution of the code has exceeded the time limit' WHEN count(*) FILTER (severity = 'CRITICAL' AND ord < 9) > 0 THEN array_to_string(list_slice(list(message ORDER BY ord) FILTER (severity = 'CRITICAL' AND ord < 9), 1, 3), chr(10) || chr(10)) ELSE 'The functionality of code is incorrect' END AS text FROM a_findings GROUP BY report_id")
 query("t24_prompt", "a_files", lambda f: f.select("file_id", sc.as_column(lambda p: sc.prompt_blocks("full", {"evidence": [p, p, p, p], "category": ["C.1"]}), "string", "path").alias("text")), "SELECT file_id, '<evidence>' || chr(10) || path || chr(10) || path || chr(10) || path || chr(10) || '</evidence>' || chr(10) || chr(10) || '<category>' || chr(10) || 'C.1' || chr(10) || '</category>' AS text FROM a_files")
 query("t25_redacted", "a_files", lambda f: f.select("file_id", t.redacted("path", ["d1", "d12", ".py"]).alias("path")), "SELECT file_id, replace(replace(replace(path, '.py', '[REDACTED]'), 'd12', '[REDACTED]'), 'd1', '[REDACTED]') AS path FROM a_files")

@@ -20,7 +20,7 @@ def query(name: str, tables: str, run: Callable[..., DataFrame], sql: str | None
 
 
 def _load() -> None:
-    from .plans import catalog, classification, relational, reports, text, trajectory  # noqa: F401
+    from .plans import catalog, classification, files, relational, reports, text, trajectory  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
