@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_rows
+from .common import WORD, partitions, text_rows
 
 CAPACITY = 2048
 SHARD = 20_000
@@ -101,7 +101,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source: str = "source", clus
     # a row has one piece at least: the number of shards follows the number of rows, which is one count
     shards = max(1, -(-docs.count() // SHARD))
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
+    # a task takes several shards, one after the other, where there are more shards than partitions
+    dealt = dealt.repartition(min(shards, max(partitions(docs.sparkSession), 2)), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins, sources, clusters = None, None, {}, {}
