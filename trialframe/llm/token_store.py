@@ -125,15 +125,19 @@ class Encoder:
         lone = np.fromiter(chain.from_iterable(first), self.kind, int(lone_sizes.sum()))
         pool = np.concatenate([self.flat, lone, np.array([self.end], self.kind)])
         # slots: of each piece the stem and the tail, and after each document the end id
-        sizes, source = np.zeros(2 * len(codes) + len(text), np.int64), np.zeros(2 * len(codes) + len(text), np.int64)
+        sizes, source = np.zeros(2 * len(codes) + len(text), np.int32), np.zeros(2 * len(codes) + len(text), np.int64)
         slot = 2 * np.arange(len(codes)) + doc
         sizes[slot[use]], source[slot[use]] = self.sizes[stem_of][place], self.starts[stem_of][place]
         sizes[slot[use] + 1], source[slot[use] + 1] = np.where(has_tail, self.sizes[tail_of], 0)[place] if len(chosen) else 0, self.starts[tail_of][place] if len(chosen) else 0
         sizes[slot[head]], source[slot[head]] = lone_sizes, len(self.flat) + np.cumsum(lone_sizes) - lone_sizes
         ends = 2 * bounds[1:] + np.arange(len(text))
         sizes[ends], source[ends] = 1, len(pool) - 1
-        total = np.cumsum(sizes)
-        ids = pool[np.repeat(source - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)]
+        total = np.cumsum(sizes, dtype=np.int64)
+        every = int(total[-1]) if len(total) else 0
+        narrow = np.int32 if max(every, len(pool)) < 1 << 31 else np.int64  # half the memory to move
+        at = np.repeat((source - (total - sizes)).astype(narrow), sizes)
+        at += np.arange(every, dtype=narrow)
+        ids = pool[at]
         return ids, np.concatenate([[0], total[ends]]).astype(np.int64)
 
 
@@ -205,7 +209,7 @@ def write_store(docs: DataFrame, tokenizer: str, end: int) -> Store:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(tokenizer, end), zstandard.ZstdCompressor(level=1)
         name, out, at, seen, row = uuid.uuid4().hex, None, 0, set(), TaskContext.get().partitionId() << 33
-        for b in slices(batches, limit=4 << 20):
+        for b in slices(batches, limit=8 << 20):
             out = out or create(f"{folder}/first/{name}")
             ids, bounds = enc(plain(b.column(1)))
             cells: list[list] = [[], [], [], [], []]
