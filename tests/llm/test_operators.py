@@ -127,6 +127,22 @@ def test_entropy_of_windows_is_the_direct_one(spark):
         assert {p for x in found for p in range(x["start"], x["end"])} == hit
 
 
+def test_long_candidates_are_one_span(spark):
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60_000))
+    t = spark.createDataFrame([(1, "é " + blob + " x")], "doc_id long, text string")
+    spans = [s for s in secret_scan.secrets(t).first()["spans"].split(",") if s.startswith("entropy")]
+    covered = sum(int(s.split(":")[2]) - int(s.split(":")[1]) for s in spans)
+    assert covered > 0.99 * len(blob) and len(spans) < 30
+
+
+def test_one_long_line_of_personal_data(spark):
+    line = " ".join(f"word{i}" for i in range(60_000)) + " a@b.cd " + "x" * 3000
+    t = spark.createDataFrame([(i, f"{i} " + line + (" 8.8.8.8" * 500 if i == 1 else "")) for i in range(3)] + [(i, "other") for i in range(3, 9)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows_of(pii.sanitised(t))}
+    assert got[0]["n_term"] > 50 and got[1]["n_ip"] == 500 and got[0]["clean_text"].startswith("0 word0 word1 ")
+
+
 def test_redaction_replaces_spans_and_keeps_columns(docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns

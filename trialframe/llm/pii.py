@@ -4,7 +4,7 @@ The patterns are ``email``, ``ip``, ``card`` and ``phone``; the values found are
 protected entities. A term's disclosure of an entity is their pointwise mutual information
 over documents, log2(N * n(e,t) / (n(e) * n(t))), as a share of the entity's own
 information, log2(N / n(e)): 1 means that the term occurs nowhere without it. n(e,t) counts
-the documents with the term on a line of the entity. Terms at ``DISCLOSE`` or above in at
+the documents with the term on a line of the entity, at most ``CONTEXT`` code points away. Terms at ``DISCLOSE`` or above in at
 least ``SUPPORT`` documents are spans too: from ``REMOVE`` on they are removed, below that
 generalised. All counts cover all documents; n(t) is pre-aggregated before the shuffle, and
 entities, terms and pairs are joined by shuffles that can be split, never collected.
@@ -26,6 +26,8 @@ from .spans import by_kind, number_of, placed, replaced, written_as
 KINDS = ("email", "ip", "card", "phone", "term", "context")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REMOVED]", "[TERM]")
 DISCLOSE, REMOVE, SUPPORT = 0.9, 0.999, 3
+#: Code points to either side of an entity, within its line, in which terms co-occur with it.
+CONTEXT = 1000
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -62,25 +64,23 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _placed_lines(found: DataFrame) -> DataFrame:
-    """row key, line's start and text, and the base spans on it, of the lines that have any."""
-    holds = lambda at, line, s: (s["start"] < at + F.length(line) + 1) & (s["end"] > at)
-    # the lines are numbered and placed by a sum over those before; only lines with spans are kept
-    line = F.split("text", "\n")
-    starts = F.aggregate(F.transform(line, lambda x: F.length(x) + 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-    both = F.arrays_zip(starts.alias("at"), line.alias("line"))
-    kept = F.filter(both, lambda x: F.exists("base", lambda s: holds(x["at"], x["line"], s)))
-    rows = found.select("doc_id", "hash", "base", F.explode(kept).alias("x"))
-    return rows.select("doc_id", "hash", F.col("x.at").alias("at"), F.col("x.line").alias("line"), F.filter("base", lambda s: holds(F.col("x.at"), F.col("x.line"), s)).alias("base"))
+def _contexts(found: DataFrame) -> DataFrame:
+    """doc_id, hash, entity, base, start and text of the line around each base span, at most ``CONTEXT`` code points to either side."""
+    rows = found.select("doc_id", "hash", "text", "base", F.explode("base").alias("s"))
+    first = F.greatest(F.lit(0), F.col("s.start") - CONTEXT)
+    left = F.substring_index(F.col("text").substr(first + 1, F.col("s.start") - first), "\n", -1)
+    right = F.substring_index(F.col("text").substr(F.col("s.end") + 1, F.lit(CONTEXT)), "\n", 1)
+    rows = rows.select("doc_id", "hash", "base", _entity(F.col("s")).alias("entity"), F.col("s.start").alias("s"), F.col("s.value").alias("value"), left.alias("left"), right.alias("right"))
+    return rows.select("doc_id", "hash", "base", "entity", (F.col("s") - F.length("left")).alias("at"), F.concat("left", "value", "right").alias("near"), (F.length("left") == CONTEXT).alias("cut_left"), (F.length("right") == CONTEXT).alias("cut_right"))
 
 
-def _words_placed(lines: DataFrame) -> DataFrame:
-    """Each word of the lines as term with its place, if no base span touches it, with the line's entities."""
-    words = lines.withColumn("word", placed(F.col("line"), WORD.replace("+", "++"), 4, lambda m: F.length(m) > 1))
-    words = words.select("doc_id", "hash", "at", "base", F.explode("word").alias("w"))
-    lo, hi = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    words = words.select("doc_id", "hash", "base", lo.alias("start"), hi.alias("end"), F.xxhash64("w.value").alias("term"))
-    return words.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
+def _terms(contexts: DataFrame) -> DataFrame:
+    """Each whole word of the contexts as a term with its place, if no base span touches it."""
+    words = contexts.withColumn("word", F.explode(placed(F.col("near"), WORD.replace("+", "++"), 4, lambda m: F.length(m) > 1)))
+    whole = ~(F.col("cut_left") & (F.col("word.start") == 0)) & ~(F.col("cut_right") & (F.col("word.end") == F.length("near")))
+    lo, hi = F.col("at") + F.col("word.start"), F.col("at") + F.col("word.end")
+    words = words.filter(whole).select("doc_id", "hash", "base", "entity", lo.alias("start"), hi.alias("end"), F.xxhash64("word.value").alias("term"))
+    return words.filter(~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))).drop("base")
 
 
 def _entity(span: Column) -> Column:
@@ -88,12 +88,12 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.substring(F.sha2(F.lower(span["value"]), 256), 1, 24))
 
 
-def disclosing(docs: DataFrame, context: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
+def disclosing(docs: DataFrame, found: DataFrame, context: DataFrame, disclose: float = DISCLOSE, support: int = SUPPORT) -> DataFrame:
     """entity, term and share of the entity's information that the term discloses, from ``disclose`` on."""
     total = docs.count()
-    pairs = context.select("doc_id", "hash", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"), "term").distinct()
+    pairs = context.select("doc_id", "hash", "entity", "term").distinct()
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    of_entity = context.select("doc_id", "hash", F.explode(F.array_distinct(F.transform("base", _entity))).alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    of_entity = found.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     terms = joint.select(F.col("term").alias("t")).distinct()
     words = docs.select(F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("w")).select(F.xxhash64("w").alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
     n_t = words.join(terms, "t", "left_semi")
@@ -110,11 +110,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
     # spans and the lines that have them are written once: base spans of all rows, and words of those lines
     found = written(marked.filter(F.size("base") > 0).select("doc_id", "hash", "text", "base"), "found").dropDuplicates(["doc_id", "hash"])
-    lines = _placed_lines(found)
-    context = written(_words_placed(lines), "context")
-    strong = disclosing(rows, context)
-    at = context.withColumn("entity", F.explode(F.array_distinct(F.transform("base", _entity))))
-    hits = at.join(strong, ["entity", "term"]).groupBy("doc_id", "hash", "start", "end").agg(F.max("share").alias("share"))
+    context = written(_terms(_contexts(found)), "context")
+    strong = disclosing(rows, found, context)
+    hits = context.join(strong, ["entity", "term"]).groupBy("doc_id", "hash", "start", "end").agg(F.max("share").alias("share"))
     method = hits.groupBy("doc_id", "hash").agg(F.collect_list(F.struct(F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("kind"), "start", "end")).alias("method"))
     bases = found.select("doc_id", "hash", "base").join(method.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "method"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     bases = bases.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "base", F.coalesce("method", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("method"))

@@ -24,7 +24,7 @@ from .common import text_rows
 from .spans import by_start, number_of, placed, replaced, written_as
 
 KINDS = ("assign", "access", "hex", "entropy")
-WINDOW = 20
+WINDOW, BLOCK = 20, 256
 #: Class: characters, and bits per character that a window of 20 must reach. The most that 20 characters can have is 4.32.
 CLASSES = (("hex", "[0-9a-fA-F]*", 3.0), ("lower", "[0-9a-z]*", 3.6), ("upper", "[0-9A-Z]*", 3.6), ("mixed", ".*", 3.8))
 #: Runs that are not secrets though they look random: UUIDs, alphabets and digit runs, placeholders, paths of words.
@@ -53,13 +53,33 @@ def _limit(value: Column) -> Column:
     return out
 
 
-def high_windows(value: Column, at: Column, window: int = WINDOW) -> Column:
-    """Spans of kind 3 over the windows of ``value`` (that starts at ``at`` in its text) whose entropy reaches the limit of its class."""
+def merged(spans: Column) -> Column:
+    """Ascending spans with those that touch or overlap made one."""
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+
+    def step(out, s):
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.struct(s["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when((F.size(out) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, none, step)
+
+
+def in_blocks(value: Column, at: Column) -> Column:
+    """Spans of a candidate of any length: blocks of ``BLOCK`` windows keep the cost of finding a character by its place low."""
+    starts = F.sequence(F.lit(0), F.length(value) - WINDOW, F.lit(BLOCK))
+    # each block's text and limit are made once, as fields: an expression in the lambda below would be evaluated at every step
+    blocks = F.transform(F.array(F.struct(value.alias("v"), _limit(value).alias("limit"))), lambda c: F.transform(starts, lambda b: F.struct(c["v"].substr(b + F.lit(1), F.lit(BLOCK + WINDOW - 1)).alias("v"), (at + b).alias("at"), c["limit"].alias("limit"))))
+    return merged(F.flatten(F.transform(F.flatten(blocks), lambda x: high_windows(x["v"], x["at"], limit=x["limit"]))))
+
+
+def high_windows(value: Column, at: Column, window: int = WINDOW, limit: Column | None = None) -> Column:
+    """Spans of kind 3 over the windows of ``value`` (that starts at ``at`` in its text) whose entropy reaches ``limit``, by default that of its class."""
     clogc = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
     term = lambda count: F.element_at(clogc, count + 1)
     occurs = lambda where, c: F.length(where) - F.length(F.replace(where, c, F.lit("")))
     # the highest S at which entropy log2(window) - S / window reaches the limit
-    most = (math.log2(window) - _limit(value)) * window + 1e-9
+    most = (math.log2(window) - (_limit(value) if limit is None else limit)) * window + 1e-9
     none = F.array().cast("array<struct<start:int,end:int>>")
     begin = F.struct(F.lit(0.0).alias("s"), none.alias("out"))
 
@@ -92,7 +112,7 @@ def suspicious(value: Column) -> Column:
 def _spans(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("__base", base_spans(F.col("__text"))).withColumn("__candidates", placed(F.col("__text"), CANDIDATE, 3, suspicious))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    method = F.when(F.size("__candidates") == 0, F.array().cast("array<struct<kind:int,start:int,end:int>>")).otherwise(F.flatten(F.transform("__candidates", lambda c: high_windows(c["value"], c["start"]))))
+    method = F.when(F.size("__candidates") == 0, F.array().cast("array<struct<kind:int,start:int,end:int>>")).otherwise(F.flatten(F.transform("__candidates", lambda c: in_blocks(c["value"], c["start"]))))
     return rows.withColumn("__all", F.concat(F.transform("__base", plain), method))
 
 
