@@ -34,10 +34,12 @@ PERCENT = 50
 BAND = 3
 BLOCK_WORDS = 1_000_000
 TABLE_BITS = 21
+#: Punctuation that is dropped at a word's ends.
+ENDS = ".,;:!?\"'()[]{}<>«»¿¡…#*$%&|-"
 
 
 def folded(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()[]{}<>«»¿¡…#*$%&|-")
+    return word.lower().strip(ENDS)
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:

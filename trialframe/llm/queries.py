@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup, packing, pii, quality, secret_scan, substring, token_store, warc
+from . import decontam, licenses, neardup, oracles, packing, pii, quality, secret_scan, substring, token_store, warc
 
 #: Where the tokenizer's file is, and the id that ends a document.
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -148,4 +148,4 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON comp.v = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _OP4, "op6_quality_rules": _op6(), "op8_substring_dedup": _OP8, "op10_minhash_near_dup": _OP10}
+    return {"op1_pii": oracles.op1(), "op2_decontamination": oracles.op2(), "op4_warc": _OP4, "op5_secret_scan": oracles.op5(), "op6_quality_rules": _op6(), "op8_substring_dedup": _OP8, "op10_minhash_near_dup": _OP10}
