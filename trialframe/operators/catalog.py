@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: identifiers that runs may have.
 RUN_ID = r"\A[A-Za-z0-9][A-Za-z0-9_.-]{0,99}\z"
 PAGE, TAIL = 50, 200
+#: States in which a run has ended, and modes that a manifest may name.
+TERMINAL, LLM_MODES = ("completed", "failed", "cancelled"), ("mock", "live")
+MANIFEST = "start_time string, repair_mode string, feedback_regime string, k int, model string, sample_size int, llm_mode string, dataset_sha256 string, generation_cache struct<sha256:string>, seed int, completed boolean"
 
 
 def listed(runs: DataFrame) -> DataFrame:
@@ -19,16 +22,30 @@ def listed(runs: DataFrame) -> DataFrame:
 
 
 def status() -> Column:
-    """K2: active before a terminal sidecar, before a completed manifest, before a legacy summary."""
-    return F.when(F.col("active"), "running").otherwise(F.coalesce("sidecar", F.when(F.col("completed"), "completed"), F.when(F.col("has_summary"), "legacy"), F.lit("unknown")))
+    """K2: active before a terminal sidecar, before the manifest's ``completed``; without a manifest a summary file tells a finished run."""
+    by_manifest = F.when(F.coalesce("completed", F.lit(False)), "completed").otherwise("failed")
+    return F.when(F.col("active"), "running").when(F.col("sidecar").isin(*TERMINAL), F.col("sidecar")).when(F.col("has_manifest"), by_manifest).when(F.col("has_summary"), "completed").otherwise("failed")
 
 
 def rsr_list(json: Column | str) -> Column:
-    """K3: array of rates from JSON, or null if any element is malformed."""
+    """K3: array of rates from JSON, or null if any element is malformed: three whole numbers, and ``pct`` that is there as a number or null."""
     c = F.col(json) if isinstance(json, str) else json
-    parsed = F.from_json(c, "array<struct<iteration:int,num:int,den:int>>")
-    good = F.forall(parsed, lambda x: x["iteration"].isNotNull() & x["num"].isNotNull() & x["den"].isNotNull())
-    return F.when(good, parsed)
+    parsed, keys = F.from_json(c, "array<struct<iteration:int,num:int,den:int,pct:double>>"), F.from_json(c, "array<map<string,string>>")
+    whole = F.forall(parsed, lambda x: x["iteration"].isNotNull() & x["num"].isNotNull() & x["den"].isNotNull())
+    stated = F.forall(F.arrays_zip(parsed.alias("x"), keys.alias("m")), lambda z: F.map_contains_key(z["m"], "pct") & (z["m"]["pct"].isNull() | z["x"]["pct"].isNotNull()))
+    return F.when(whole & stated, parsed)
+
+
+def run_items(runs: DataFrame, manifests: DataFrame, summaries: DataFrame) -> DataFrame:
+    """One row of 14 columns for each run. ``runs``: run_id, active, sidecar, has_summary; the others: run_id and the JSON text, if a run has one."""
+    m = manifests.select("run_id", F.from_json("manifest", MANIFEST).alias("m")).filter("m is not null").dropDuplicates(["run_id"])
+    s = summaries.select("run_id", F.get_json_object("summary", "$.rsr").alias("rsr_json")).dropDuplicates(["run_id"])
+    j = runs.select("run_id", "active", "sidecar", "has_summary").join(m, "run_id", "left").join(s, "run_id", "left").withColumn("has_manifest", F.col("m").isNotNull()).withColumn("completed", F.col("m.completed"))
+    plain = ("start_time", "repair_mode", "feedback_regime", "k", "model", "sample_size", "dataset_sha256", "seed")
+    return j.select(
+        "run_id", F.when(F.col("has_manifest"), "manifest").otherwise("legacy").alias("provenance"), status().alias("status"), rsr_list("rsr_json").alias("rsr"), *(F.col(f"m.{c}").alias(c) for c in plain),
+        F.when(F.col("m.llm_mode").isin(*LLM_MODES), F.col("m.llm_mode")).alias("llm_mode"), F.col("m.generation_cache.sha256").alias("generation_cache_sha256"),
+    )
 
 
 def page(entries: DataFrame, number: int, size: int = PAGE, order: str = "ord") -> DataFrame:
