@@ -157,22 +157,33 @@ def distinct_first(rows: DataFrame, columns: list[str], key: str, order: str = "
 
 
 def optimization(before: DataFrame, after: DataFrame, key: str = "report_id") -> DataFrame:
-    """C14: bugs before and after, fixed = max(0, difference), its rate, and 100, 0 or null for the program."""
-    n = lambda d, name: d.groupBy(key).agg(F.count("*").alias(name))
-    j = n(before, "n_before").join(n(after, "n_after"), key, "full").na.fill(0, ["n_before", "n_after"])
-    fixed = F.greatest(F.lit(0), F.col("n_before") - F.col("n_after"))
+    """C14: bugs before and after, fixed = max(0, difference) in total and by primary type with their rates (null for none), and 100, 0 or null for the program."""
     from ..functions.rates import rate
 
-    return j.select(key, "n_before", "n_after", fixed.alias("fixed"), rate(fixed, "n_before").alias("pct_fixed"), F.when(F.col("n_before") > 0, F.when(F.col("n_after") == 0, 100.0).otherwise(0.0)).alias("rsr"))
+    marked = before.select(key, "category", F.lit(True).alias("old")).unionByName(after.select(key, "category", F.lit(False).alias("old")))
+    parts = {"": F.lit(True), **{f"_{p.lower()}": F.col("category").startswith(p) for p in PRIMARIES}}
+    n = marked.groupBy(key).agg(*(F.count_if(part & (F.col("old") == old)).alias(f"n_{side}{x}") for x, part in parts.items() for side, old in (("before", True), ("after", False))))
+    fixed = lambda x: F.greatest(F.lit(0), F.col(f"n_before{x}") - F.col(f"n_after{x}"))
+    return n.select(
+        key, "n_before", "n_after", *(c for x in parts for c in (fixed(x).alias(f"fixed{x}"), rate(fixed(x), f"n_before{x}").alias(f"pct_fixed{x}"))), F.when(F.col("n_before") > 0, F.when(F.col("n_after") == 0, 100.0).otherwise(0.0)).alias("rsr")
+    )
+
+
+def decreases(bugs: DataFrame, key: str = "report_id") -> DataFrame:
+    """C14: categories whose bugs became fewer from an iteration to the next, with by how many; the last iteration of a program is its final state."""
+    n = bugs.groupBy(key, "iteration", "category").agg(F.count("*").alias("n"))
+    last = bugs.groupBy(key).agg(F.max("iteration").alias("last"))
+    later = n.select(key, (F.col("iteration") - 1).alias("iteration"), "category", F.col("n").alias("left"))
+    j = n.join(last, key).filter("iteration < last").join(later, [key, "iteration", "category"], "left")
+    return j.select(key, "iteration", "category", (F.col("n") - F.coalesce("left", F.lit(0))).alias("fewer")).filter("fewer > 0")
 
 
 def winner(a: str, b: str, a_tokens: str, b_tokens: str) -> Column:
-    """By the round that passed (0: not failing, -1: never), then by fewer tokens."""
+    """By the round that passed (0: not failing, -1: never); where both passed in one round, by fewer tokens; two that never pass are a tie."""
     x, y = F.col(a), F.col(b)
     late = lambda c: F.when(c < 0, 99).otherwise(c)
-    return (
-        F.when((x == 0) | (y == 0), "tie").when(late(x) < late(y), "a").when(late(y) < late(x), "b").when(F.col(a_tokens) < F.col(b_tokens), "a").when(F.col(b_tokens) < F.col(a_tokens), "b").otherwise("tie")
-    )
+    none = (x == 0) | (y == 0) | ((x < 0) & (y < 0))
+    return F.when(none, "tie").when(late(x) < late(y), "a").when(late(y) < late(x), "b").when(F.col(a_tokens) < F.col(b_tokens), "a").when(F.col(b_tokens) < F.col(a_tokens), "b").otherwise("tie")
 
 
 def token_estimate(*texts: str) -> Column:

@@ -106,4 +106,7 @@ def demo_candidates(problems: DataFrame) -> DataFrame:
     """Category and note of each problem for a demonstration."""
     ok, r = F.col("passed"), F.col("passed_round")
     kind = F.when(ok & (r == 0), "passes first try").when(ok & (r > 0), "fails, both modes fix").otherwise("unresolved")
-    return problems.select("task_id", kind.alias("category"), F.format_string("%s in round %d", F.coalesce("initial_bug_sub", "initial_bug_primary", F.lit("Bug")), r).alias("note"))
+    bug = F.coalesce("initial_bug_sub", "initial_bug_primary", F.lit("Bug"))
+    note = F.when(ok & (r == 0), F.format_string("Initial generation passed all tests at Round 0 in %d ms.", F.col("total_duration_ms")))
+    note = note.when(ok & (r > 0), F.format_string("Failed at Round 0 with %s, repaired successfully in Round %d.", bug, r)).otherwise(F.format_string("Failed Round 0 with %s, remained unresolved after iterations.", bug))
+    return problems.select("task_id", kind.alias("category"), note.alias("note"))

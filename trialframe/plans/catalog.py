@@ -12,11 +12,11 @@ from ..registry import query
 query("k1_listed", "a_runs", lambda d: k.listed(d).select("run_id", "place"), "SELECT run_id, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS place FROM a_runs WHERE regexp_matches(run_id, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,99}$')")
 query("k2_status", "a_runs", lambda d: d.withColumn("has_manifest", F.col("n") % 2 == 1).withColumn("sidecar", F.expr("if(n = 14, 'starting', sidecar)")).select("run_id", k.status().alias("status")),
       "SELECT run_id, CASE WHEN active THEN 'running' WHEN sidecar IS NOT NULL AND n <> 14 THEN sidecar WHEN n % 2 = 1 THEN CASE WHEN completed THEN 'completed' ELSE 'failed' END WHEN has_summary THEN 'completed' ELSE 'failed' END AS status FROM a_runs")
-_RSR = F.concat(F.lit('[{"iteration":1,"num":2,"den":30,"pct":6.7},{"iteration":2,"num":'), F.expr("if(n % 3 = 0, 'null', string(n))"), F.lit(',"den":30'), F.expr("""case n % 4 when 0 then '' when 1 then ',"pct":null' when 2 then ',"pct":"6"' else ',"pct":6.5' end"""), F.lit("}]"))
-query("k3_rsr_list", "a_runs", lambda d: d.select("run_id", F.size(k.rsr_list(_RSR)).cast("long").alias("n"), F.get(k.rsr_list(_RSR), 1)["pct"].alias("pct")),
+_rsr = lambda: F.concat(F.lit('[{"iteration":1,"num":2,"den":30,"pct":6.7},{"iteration":2,"num":'), F.expr("if(n % 3 = 0, 'null', string(n))"), F.lit(',"den":30'), F.expr("""case n % 4 when 0 then '' when 1 then ',"pct":null' when 2 then ',"pct":"6"' else ',"pct":6.5' end"""), F.lit("}]"))
+query("k3_rsr_list", "a_runs", lambda d: d.select("run_id", F.size(k.rsr_list(_rsr())).cast("long").alias("n"), F.get(k.rsr_list(_rsr()), 1)["pct"].alias("pct")),
       "SELECT run_id, CASE WHEN n % 3 = 0 OR n % 4 IN (0, 2) THEN NULL ELSE 2::BIGINT END AS n, CASE WHEN n % 3 <> 0 AND n % 4 = 3 THEN 6.5::DOUBLE END AS pct FROM a_runs")
-_MANIFEST = F.to_json(F.struct(F.col("started_at").alias("start_time"), F.lit("dou").alias("repair_mode"), F.col("regime").alias("feedback_regime"), "k", "model", F.col("n").alias("sample_size"), F.expr("if(n % 2 = 0, 'mock', 'other')").alias("llm_mode"), F.lit("d").alias("dataset_sha256"), F.expr("if(n % 4 = 0, null, named_struct('sha256', concat('c', n)))").alias("generation_cache"), "seed", "completed"))
-query("p1_run_items", "a_runs", lambda d: k.run_items(d, d.filter("n % 5 <> 0").select("run_id", _MANIFEST.alias("manifest")), d.filter("n % 3 <> 1").select("run_id", F.concat(F.lit('{"rsr":'), _RSR, F.lit("}")).alias("summary"))).withColumn("rsr", F.size("rsr").cast("long")),
+_manifest = lambda: F.to_json(F.struct(F.col("started_at").alias("start_time"), F.lit("dou").alias("repair_mode"), F.col("regime").alias("feedback_regime"), "k", "model", F.col("n").alias("sample_size"), F.expr("if(n % 2 = 0, 'mock', 'other')").alias("llm_mode"), F.lit("d").alias("dataset_sha256"), F.expr("if(n % 4 = 0, null, named_struct('sha256', concat('c', n)))").alias("generation_cache"), "seed", "completed"))
+query("p1_run_items", "a_runs", lambda d: k.run_items(d, d.filter("n % 5 <> 0").select("run_id", _manifest().alias("manifest")), d.filter("n % 3 <> 1").select("run_id", F.concat(F.lit('{"rsr":'), _rsr(), F.lit("}")).alias("summary"))).withColumn("rsr", F.size("rsr").cast("long")),
       """SELECT run_id, CASE WHEN m THEN 'manifest' ELSE 'legacy' END AS provenance, CASE WHEN active THEN 'running' WHEN sidecar IS NOT NULL THEN sidecar WHEN m THEN CASE WHEN completed THEN 'completed' ELSE 'failed' END WHEN has_summary THEN 'completed' ELSE 'failed' END AS status,
         CASE WHEN n % 3 = 1 OR n % 3 = 0 OR n % 4 IN (0, 2) THEN NULL ELSE 2::BIGINT END AS rsr, CASE WHEN m THEN started_at END AS start_time, CASE WHEN m THEN 'dou' END AS repair_mode, CASE WHEN m THEN regime END AS feedback_regime, CASE WHEN m THEN k::INT END AS k, CASE WHEN m THEN model END AS model,
         CASE WHEN m THEN n::INT END AS sample_size, CASE WHEN m THEN 'd' END AS dataset_sha256, CASE WHEN m THEN seed::INT END AS seed, CASE WHEN m AND n % 2 = 0 THEN 'mock' END AS llm_mode, CASE WHEN m AND n % 4 <> 0 THEN 'c' || n END AS generation_cache_sha256 FROM (SELECT *, n % 5 <> 0 AS m FROM a_runs)""")

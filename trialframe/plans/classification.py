@@ -50,7 +50,14 @@ query("c11_test_counts", "a_findings", lambda f: c.test_counts(f.withColumn("out
 query("c12_stdlib", "a_findings", lambda f: f.filter(F.regexp_extract("message", "name '([^']+)'", 1).isin(*LIBRARIES)).groupBy("report_id").agg(F.count("*").alias("n")), f"SELECT report_id, count(*) AS n FROM a_findings WHERE regexp_extract(message, 'name ''([^'']+)''', 1) IN {_in(LIBRARIES)} GROUP BY report_id")
 _DIST = f"(SELECT DISTINCT report_id, category, file, line, message FROM {FOUND} WHERE category IS NOT NULL)"
 query("c13_bug_report", "a_findings", lambda f: c.bug_report(c.classified(f).filter("category is not null")).select("report_id", "total", "type_a", "type_b", "type_c", F.size("by_category").cast("long").alias("categories")), f"SELECT report_id, count(*) AS total, count(*) FILTER (category LIKE 'A%') AS type_a, count(*) FILTER (category LIKE 'B%') AS type_b, count(*) FILTER (category LIKE 'C%') AS type_c, count(DISTINCT category) AS categories FROM {_DIST} GROUP BY report_id")
-query("c14_optimization", "a_findings", lambda f: c.optimization(f.filter("is_before"), f.filter("not is_before and ord % 3 = 0")), "SELECT report_id, b AS n_before, a AS n_after, greatest(0, b - a) AS fixed, CASE WHEN b > 0 THEN ((2000 * greatest(0, b - a) + b) // (2 * b)) / 10.0 END AS pct_fixed, CASE WHEN b > 0 THEN CASE WHEN a = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END END AS rsr FROM (SELECT report_id, count(*) FILTER (is_before) AS b, count(*) FILTER (NOT is_before AND ord % 3 = 0) AS a FROM a_findings GROUP BY report_id) WHERE a + b > 0")
+_CAT = "concat(CASE finding_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END, '.1')"
+query("c14_optimization", "a_findings", lambda f: (lambda d: c.optimization(d.filter("is_before"), d.filter("not is_before and ord % 3 = 0")))(f.withColumn("category", F.expr(_CAT))),
+      "SELECT report_id, b AS n_before, a AS n_after, " + ", ".join(f"greatest(0, b{x} - a{x}) AS fixed{x}, CASE WHEN b{x} > 0 THEN ((2000 * greatest(0, b{x} - a{x}) + b{x}) // (2 * b{x})) / 10.0 END AS pct_fixed{x}" for x in ("", "_a", "_b", "_c"))
+      + ", CASE WHEN b > 0 THEN CASE WHEN a = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END END AS rsr FROM (SELECT report_id, " + ", ".join(f"count(*) FILTER (is_before{w}) AS b{x}, count(*) FILTER (NOT is_before AND ord % 3 = 0{w}) AS a{x}" for x, w in (("", ""), ("_a", " AND finding_id % 3 = 0"), ("_b", " AND finding_id % 3 = 1"), ("_c", " AND finding_id % 3 = 2")))
+      + " FROM a_findings GROUP BY report_id) WHERE a + b > 0")
+_COUNTS = f"(SELECT report_id, line % 4 AS i, {_CAT} AS category, count(*) AS n FROM a_findings GROUP BY ALL)"
+query("c14_decreases", "a_findings", lambda f: c.decreases(f.select("report_id", (F.col("line") % 4).alias("iteration"), F.expr(_CAT).alias("category"))),
+      f"SELECT report_id, i AS iteration, category, n - m AS fewer FROM (SELECT x.report_id, x.i, x.category, x.n, coalesce(y.n, 0) AS m, max(x.i) OVER (PARTITION BY x.report_id) AS last FROM {_COUNTS} x LEFT JOIN {_COUNTS} y ON y.report_id = x.report_id AND y.category = x.category AND y.i = x.i + 1) WHERE i < last AND n > m")
 query("c15_winner", "a_problem_runs", lambda p: p.withColumn("b", F.expr("cast(task_id % 4 - 1 as long)")).withColumn("t", F.lit(3000)).select("task_id", c.winner("passed_round", "b", "total_duration_ms", "t").alias("winner")),
-      "SELECT task_id, CASE WHEN x = 0 OR y = 0 THEN 'tie' WHEN l < m THEN 'a' WHEN m < l THEN 'b' WHEN d < 3000 THEN 'a' WHEN d > 3000 THEN 'b' ELSE 'tie' END AS winner FROM (SELECT task_id, passed_round AS x, task_id % 4 - 1 AS y, total_duration_ms AS d, CASE WHEN passed_round < 0 THEN 99 ELSE passed_round END AS l, CASE WHEN task_id % 4 = 0 THEN 99 ELSE task_id % 4 - 1 END AS m FROM a_problem_runs)")
+      "SELECT task_id, CASE WHEN x = 0 OR y = 0 OR x < 0 AND y < 0 THEN 'tie' WHEN l < m THEN 'a' WHEN m < l THEN 'b' WHEN d < 3000 THEN 'a' WHEN d > 3000 THEN 'b' ELSE 'tie' END AS winner FROM (SELECT task_id, passed_round AS x, task_id % 4 - 1 AS y, total_duration_ms AS d, CASE WHEN passed_round < 0 THEN 99 ELSE passed_round END AS l, CASE WHEN task_id % 4 = 0 THEN 99 ELSE task_id % 4 - 1 END AS m FROM a_problem_runs)")
 query("c16_token_estimate", "a_calls", lambda x: x.select("conv_id", "turn", c.token_estimate("text", "phase").alias("tokens")), "SELECT conv_id, turn, ((length(text) + length(phase) + 3) // 4)::BIGINT AS tokens FROM a_calls")

@@ -27,7 +27,7 @@ query("r9_tokens_time", "a_problem_runs a_rounds", r.tokens_and_time, "SELECT su
 query("r12_console", "a_problem_runs", r.console_summary, f"SELECT *, {_rate('(r2 - r0)', '(total - r0)')} AS pct_repaired FROM (SELECT count(*) AS total, count(*) FILTER (passed AND passed_round <= 0) AS r0, count(*) FILTER (passed AND passed_round <= 1) AS r1, count(*) FILTER (passed AND passed_round <= 2) AS r2 FROM a_problem_runs)")
 query("r12_histogram", "a_problem_runs", r.bug_histogram, "SELECT initial_bug_sub AS bug, count(*) AS n FROM a_problem_runs WHERE initial_bug_sub IS NOT NULL GROUP BY 1")
 query("s9_latest_run", "a_runs", lambda d: r.latest_run(d.filter("model is not null")).select("run_id", "started_at"), "SELECT run_id, started_at FROM a_runs WHERE model IS NOT NULL ORDER BY started_at DESC, run_id DESC LIMIT 1")
-query("p7_demo_candidates", "a_problem_runs", r.demo_candidates, "SELECT task_id, CASE WHEN passed AND passed_round = 0 THEN 'passes first try' WHEN passed THEN 'fails, both modes fix' ELSE 'unresolved' END AS category, coalesce(initial_bug_sub, initial_bug_primary, 'Bug') || ' in round ' || passed_round AS note FROM a_problem_runs")
+query("p7_demo_candidates", "a_problem_runs", r.demo_candidates, "SELECT task_id, CASE WHEN passed AND passed_round = 0 THEN 'passes first try' WHEN passed THEN 'fails, both modes fix' ELSE 'unresolved' END AS category, CASE WHEN passed AND passed_round = 0 THEN 'Initial generation passed all tests at Round 0 in ' || total_duration_ms || ' ms.' WHEN passed THEN 'Failed at Round 0 with ' || coalesce(initial_bug_sub, initial_bug_primary, 'Bug') || ', repaired successfully in Round ' || passed_round || '.' ELSE 'Failed Round 0 with ' || coalesce(initial_bug_sub, initial_bug_primary, 'Bug') || ', remained unresolved after iterations.' END AS note FROM a_problem_runs")
 query("j1_rounds_of_problems", "a_rounds a_problem_runs", lambda x, p: x.join(p.filter("run_id = 'run1'").select("task_id", "benchmark"), "task_id").select("task_id", "round_number", "benchmark", "token_count"), "SELECT task_id, round_number, benchmark, token_count FROM a_rounds JOIN a_problem_runs USING (task_id) WHERE run_id = 'run1'")
 query("j2_resume", "a_problem_runs a_steps", lambda p, s: s.join(p.filter("passed").select("task_id"), "task_id", "left_anti").select("task_id", "n"), "SELECT task_id, n FROM a_steps WHERE task_id NOT IN (SELECT task_id FROM a_problem_runs WHERE passed)")
 query("s10_completed", "a_problem_runs", lambda p: p.groupBy("run_id", "benchmark").agg(F.count_if("passed").alias("completed")), "SELECT run_id, benchmark, count(*) FILTER (passed) AS completed FROM a_problem_runs GROUP BY ALL")
