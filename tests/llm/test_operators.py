@@ -301,6 +301,16 @@ def test_substrings(docs, empty, monkeypatch, hot, shard):
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_a_hot_stretch_twice_in_a_document_goes_at_both_places(spark, monkeypatch):
+    rng = random.Random(7)
+    a, b, c, d, p = (words(rng, n) for n in (50, 50, 50, 50, 60))
+    rows = [(1, f"{a} {p} {b}"), (2, f"{c} {p} {d} {c} {p} {d}"), (2, f"x {c} {p} {d}"), (3, f"{c} {p} {d}")]
+    monkeypatch.setattr(substring, "HOT", 1)
+    got = rows_of(substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
+    same([tuple(r.values()) for r in got], brute_removed(rows, 50))
+    assert {r["n_removed"] for r in got if r["n_words"] == 320} == {120}
+
+
 def test_fm_index_ranks_and_intervals():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 5, 400)

@@ -278,25 +278,29 @@ def _searched(stretches: DataFrame, width: int) -> DataFrame:
 def _hot(stretches: DataFrame, width: int) -> DataFrame:
     """Removed windows of anchors without a bounded shard, by a minimum over equal windows.
 
-    Equal stretches are one first: all but the smallest document's go as a whole.
+    Equal stretches are one first: all but the smallest document's go as a whole. What is found
+    in a stretch of the smallest document goes at each of its places there.
     """
     stretches = stretches.withColumn("same", F.unhex(F.md5("words")))
     firsts = stretches.groupBy("same").agg(F.min("doc_id").alias("least")).withColumnRenamed("same", "s")
     tagged = written(stretches.join(firsts, F.col("same") == F.col("s")), "hot")
     copies = tagged.filter("least < doc_id").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.size(F.split("words", " "))).alias("stop"))
-    stretches = tagged.filter("least = doc_id").dropDuplicates(["same"]).select("anchor", "doc_id", "key", "first", "words")
+    places = tagged.filter("least = doc_id").select(F.col("same").alias("s"), "doc_id", "key", "first")
+    stretches = tagged.filter("least = doc_id").dropDuplicates(["same"]).select("same", "doc_id", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "words", 1 << 18):
             out = []
-            for d, k, first, text in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            for same, d, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 w = text.encode().split()
-                out += [(xxhash.xxh3_128_digest(b" ".join(w[i : i + width])), d, k, first + i) for i in range(len(w) - width + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["window", "doc_id", "key", "start"])
-
-    every = written(stretches.mapInArrow(run, "window binary, doc_id long, key binary, start int"), "windows")
-    least = every.groupBy("window").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    return copies.union(every.join(least, "window").filter("least < doc_id").select("doc_id", "key", "start", (F.col("start") + width).alias("stop")))
+                out += [(xxhash.xxh3_128_digest(b" ".join(w[i : i + width])), d, same, i) for i in range(len(w) - width + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["window", "of", "same", "offset"])
+
+    every = written(stretches.mapInArrow(run, "window binary, of long, same binary, offset int"), "windows")
+    least = every.groupBy("window").agg(F.min("of").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    found = every.join(least, "window").filter("least < of").select("same", "offset")
+    start = F.col("first") + F.col("offset")
+    return copies.union(places.join(found, F.col("s") == F.col("same")).select("doc_id", "key", start.alias("start"), (start + width).alias("stop")))
 
 
 def _applied(rows: DataFrame) -> DataFrame:
