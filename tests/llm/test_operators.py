@@ -164,6 +164,18 @@ def test_pii(docs, empty):
     assert pii.sanitised(empty).count() == 0
 
 
+def test_disclosing_terms_are_marked_wherever_they_occur(spark):
+    rows = [(i, f"{'text ' * 300}at 8.8.8.8 zebrafish") for i in range(3)]
+    rows += [(3, "at 8.8.8.8 quagga\nquagga é quagga x@quagga.org"), (4, "at 8.8.8.8 quagga"), (5, "at 8.8.8.8 quagga"), (None, "zebrafish"), (6, "a\tzebrafish zebrafishes\nzebrafish")]
+    rows += [(i, f"other text {i} at") for i in range(10, 40_000)]
+    by = {r["doc_id"]: r for r in rows_of(pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id is null or doc_id < 10"))}
+    assert by[3]["spans"] == "email:34:46,ip:3:10,term:11:17,term:18:24,term:27:33"
+    assert by[3]["clean_text"] == "at [IP] [REMOVED]\n[REMOVED] é [REMOVED] [EMAIL]"
+    assert by[0]["spans"] == "ip:1503:1510,context:1511:1520"
+    assert by[None]["clean_text"] == "[TERM]"
+    assert by[6]["clean_text"] == "a\t[TERM] zebrafishes\n[TERM]" and by[5]["n_term"] == 1
+
+
 # ---- 2, 3: lookups against small tables
 
 

@@ -5,8 +5,8 @@ protected entities. A term's disclosure of an entity is their pointwise mutual i
 over documents, log2(N * n(e,t) / (n(e) * n(t))), as a share of the entity's own
 information, log2(N / n(e)): 1 means that the term occurs nowhere without it. n(e,t) counts
 the documents with the term on a line of the entity, at most ``CONTEXT`` code points away. Terms at ``DISCLOSE`` or above in at
-least ``SUPPORT`` documents are spans too: from ``REMOVE`` on they are removed, below that
-generalised. All counts cover all documents; n(t) is pre-aggregated before the shuffle, and
+least ``SUPPORT`` documents are spans wherever they occur, in documents without the entity too:
+from ``REMOVE`` on they are removed, below that generalised. All counts cover all documents; n(t) is pre-aggregated before the shuffle, and
 entities, terms and pairs are joined by shuffles that can be split, never collected.
 
 DataFrame expressions only. Defined cases: null text counts as "", which has no spans;
@@ -21,13 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, text_rows, written
-from .spans import by_kind, number_of, placed, replaced, written_as
+from .spans import by_kind, let, number_of, placed, replaced, starts, written_as
 
 KINDS = ("email", "ip", "card", "phone", "term", "context")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REMOVED]", "[TERM]")
 DISCLOSE, REMOVE, SUPPORT = 0.9, 0.999, 3
 #: Code points to either side of an entity, within its line, in which terms co-occur with it.
 CONTEXT = 1000
+#: Up to so many disclosing terms are sent to all tasks; beyond, words are joined to them by a shuffle.
+BROADCAST_TERMS = 1_000_000
+SEPARATOR = r"[\x20\x09-\x0D]"
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
@@ -103,6 +106,24 @@ def disclosing(docs: DataFrame, found: DataFrame, context: DataFrame, disclose:
     return j.select("entity", "term", F.when(own > 0, pmi / own).otherwise(0.0).alias("share")).filter(F.col("share") >= disclose)
 
 
+def _marks(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """Of each row with disclosing terms: d, h and places, the numbers of its words that are such terms and their shares."""
+    terms = written(strong.groupBy(F.col("term").alias("t")).agg(F.max("share").alias("share")), "strong")
+    n = terms.count()
+    words = rows.select("doc_id", "hash", F.posexplode(F.split("text", SEPARATOR, -1)).alias("i", "w")).filter(F.length("w") > 1)
+    hits = words.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, F.xxhash64("w") == F.col("t"))
+    return hits.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("i", "share")).alias("places"))
+
+
+def _method(text: Column, places: Column, base: Column) -> Column:
+    """Spans of the words at ``places``, if no base span touches them."""
+    marks = let(
+        F.split(text, SEPARATOR, -1),
+        lambda words: let(starts(words), lambda at: F.transform(places, lambda p: F.struct(F.when(p["share"] >= REMOVE, 4).otherwise(5).alias("kind"), F.get(at, p["i"]).alias("start"), (F.get(at, p["i"]) + F.length(F.get(words, p["i"]))).alias("end")))),
+    )
+    return F.filter(marks, lambda m: ~F.exists(base, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"])))
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """Each row of ``docs``: doc_id, text, base (array of spans), spans (base and method's, by kind then start)."""
     rows = text_rows(docs).withColumn("hash", F.xxhash64("text"))
@@ -111,14 +132,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     # spans and the lines that have them are written once: base spans of all rows, and words of those lines
     found = written(marked.filter(F.size("base") > 0).select("doc_id", "hash", "text", "base"), "found").dropDuplicates(["doc_id", "hash"])
     context = written(_terms(_contexts(found)), "context")
-    strong = disclosing(rows, found, context)
-    hits = context.join(strong, ["entity", "term"]).groupBy("doc_id", "hash", "start", "end").agg(F.max("share").alias("share"))
-    method = hits.groupBy("doc_id", "hash").agg(F.collect_list(F.struct(F.when(F.col("share") >= REMOVE, 4).otherwise(5).alias("kind"), "start", "end")).alias("method"))
-    bases = found.select("doc_id", "hash", "base").join(method.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "method"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
-    bases = bases.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "base", F.coalesce("method", F.array().cast("array<struct<kind:int,start:int,end:int>>")).alias("method"))
-    out = rows.join(bases, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
+    marks = _marks(rows, disclosing(rows, found, context))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
+    out = rows.join(found.select(F.col("doc_id").alias("d"), F.col("hash").alias("h"), "base"), same, "left").drop("d", "h").join(marks, same, "left")
     base = F.coalesce("base", none)
-    return out.select("doc_id", "text", base.alias("base"), by_kind(F.concat(F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.coalesce("method", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
+    method = F.when(F.col("places").isNull(), F.array().cast("array<struct<kind:int,start:int,end:int>>")).otherwise(_method(F.col("text"), F.col("places"), base))
+    return out.select("doc_id", "text", base.alias("base"), by_kind(F.concat(F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), method)).alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

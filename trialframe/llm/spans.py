@@ -30,6 +30,21 @@ def placed(text: Column, pattern: str, kind: int, keep, bound=None) -> Column:
     return spans if bound is None else F.when(bound, spans).otherwise(none)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where body uses it in further lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def starts(words: Column, block: int = 256) -> Column:
+    """Start of each of ``words``, one character apart; running sums by blocks, so the work is in proportion."""
+    add = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    sums = lambda numbers, first: F.aggregate(numbers, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda s: s["out"])
+    lengths = F.transform(words, lambda w: F.length(w) + 1)
+    parts = let(lengths, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")), lambda b: F.slice(n, b * block + 1, F.lit(block))))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, n: s + n)
+    return let(parts, lambda p: F.flatten(F.zip_with(p, sums(F.transform(p, total), F.lit(0)), lambda part, first: sums(part, first))))
+
+
 def written_as(spans: Column, names: tuple[str, ...]) -> Column:
     """``kind:start:end``, comma-joined, in the order given."""
     kinds = F.array(*(F.lit(n) for n in names))
