@@ -195,6 +195,23 @@ def test_decontamination(spark, docs, empty):
     assert len(list(decontam.blocks(bench, 3))) > 2
 
 
+def test_every_item_is_found_from_half_of_its_words_on():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((3, 4, 5, 8, 11, 12, 15, 18, 20, 30, 36, 57) * 8)]
+    block, lost = decontam.Block([(k, " ".join(x)) for k, x in enumerate(items)]), []
+    for share in (0.2, 0.3, 0.4, 0.5):
+        texts, kept = [], []
+        for x in items:
+            gone = set(rng.sample(range(len(x)), int(share * len(x))))
+            texts.append("before it " + " ".join("other" if j in gone else v for j, v in enumerate(x)) + " after")
+            kept.append(len(x) - len(gone))
+        found = {(r[0], r[1]): r[3] for r in block.found(pa.array(texts))}
+        lost += [(share, len(x)) for k, x in enumerate(items) if found.get((k, k)) != kept[k]]
+    assert lost == []
+
+
 def test_licenses(docs, empty):
     got = [(r["doc_id"], r["license"], r["start"], r["end"]) for r in rows_of(licenses.license_spans(docs))]
     same(got, [(180, "CC-BY-NC-4.0", 4, 32), (181, "GPL-3.0", 0, 70), (182, "MIT", 0, 31)])

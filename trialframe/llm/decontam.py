@@ -4,6 +4,10 @@
 at an ignored place leaves the hash as it is. Hashes of the benchmark and of the documents
 are joined; around every hit the item is laid over the document along the hit's diagonal
 (and up to ``BAND`` neighbours, for dropped or added words) and compared word by word.
+What the masks don't find is looked for by ``PAIRS``: of ``m`` matches among ``n`` words in
+place, at least (3 (m - 1) - (n - 1)) / 2 follow the one before at a distance of one or two,
+so diagonals with fewer pairs needn't be compared, and substituted words lose no item of
+three words or more at 50 % and above. Two-word items need both words.
 Words are lower-cased without punctuation at their ends.
 
 The benchmark is the query set: it goes to the executors in blocks of at most
@@ -30,6 +34,8 @@ from .common import Words, mixed, plain, slices, text_rows
 
 #: Spans of 12 tokens, 8 of them compared.
 MASKS = ("110110011101", "111010110011", "101111001101")
+#: Two words side by side or with one between; of items of four words also the first and the last.
+PAIRS = ("11", "101", "1001")
 PERCENT = 50
 BAND = 3
 BLOCK_WORDS = 1_000_000
@@ -68,39 +74,80 @@ class Block:
         for k, words in enumerate(self.words):
             for mask in masks if len(words) >= span else ("1" * len(words),) * bool(len(words)):
                 places.setdefault(mask, []).append((seeds(words, mask), k))
-        self.tables = {}
+        self.tables = self._tables(places)
+        self.pairs = self._tables({p: [(seeds(x, p), k) for k, x in enumerate(self.words) if len(x) >= len(p) and (p != PAIRS[2] or len(x) == 4)] for p in PAIRS})
+
+    @staticmethod
+    def _tables(places: dict[str, list]) -> dict[str, tuple]:
+        tables = {}
         for mask, found in places.items():
+            if not found:
+                continue
             value = np.concatenate([s for s, _ in found])
             item = np.concatenate([np.full(len(s), k) for s, k in found])
             at = np.concatenate([np.arange(len(s)) for s, _ in found])
             order = np.argsort(value, kind="stable")
             near = np.zeros(1 << TABLE_BITS, bool)
             near[value & np.uint64((1 << TABLE_BITS) - 1)] = True
-            self.tables[mask] = (value[order], item[order], at[order], near)
+            tables[mask] = (value[order], item[order], at[order], near)
+        return tables
 
-    def found(self, text: pa.Array, percent: int = PERCENT) -> list[tuple[int, int, int, int, int, int]]:
-        """(row, item_id, words of the item, words matched, first word, word after the last) of each item in each text."""
-        w = Words(text)
-        h = w.hashes(folded)
-        hits: dict[tuple[int, int], set[int]] = {}
-        for mask, (value, item, at, near) in self.tables.items():
+    @staticmethod
+    def _hits(tables: dict[str, tuple], h: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """For each mask: text, item and diagonal of each hit."""
+        for mask, (value, item, at, near) in tables.items():
             s = seeds(h, mask)
             where = np.flatnonzero(near[s & np.uint64((1 << TABLE_BITS) - 1)])
             lo, hi = np.searchsorted(value, s[where], "left"), np.searchsorted(value, s[where], "right")
             where, lo, hi = where[hi > lo], lo[hi > lo], hi[hi > lo]
             if not len(where):
                 continue
-            doc = np.searchsorted(w.offsets, where, "right") - 1
-            fits = where + len(mask) <= w.offsets[doc + 1]
+            doc = np.searchsorted(offsets, where, "right") - 1
+            fits = where + len(mask) <= offsets[doc + 1]
             where, lo, hi, doc = where[fits], lo[fits], hi[fits], doc[fits]
             each = np.repeat(np.arange(len(where)), hi - lo)
             entry = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
-            rows = np.unique(np.column_stack([doc[each], item[entry], where[each] - at[entry] - w.offsets[doc[each]]]), axis=0) if len(each) else np.zeros((0, 3), int)
-            for d, k, diagonal in rows.tolist():
+            yield np.column_stack([doc[each], item[entry], where[each] - at[entry] - offsets[doc[each]]]) if len(each) else np.zeros((0, 3), int)
+
+    def _likely(self, h: np.ndarray, offsets: np.ndarray, percent: int) -> dict[tuple[int, int], set[int]]:
+        """Diagonals, by text and item, that have pairs enough, with their neighbours."""
+        every = np.concatenate([np.zeros((0, 3), int), *self._hits(self.pairs, h, offsets)])
+        if not len(every):
+            return {}
+        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)]))
+        rows, votes = every[first], np.diff(np.append(first, len(every)))
+        size = np.array([len(x) for x in self.words])
+        matches = -(-percent * size // 100)
+        least = np.maximum(1, -((size - 1 - 3 * (matches - 1)) // 2))
+        group = np.cumsum(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+        # diagonals of one text and item are far from those of another
+        line = group * (4 * int(np.abs(rows[:, 2]).max()) + 4 * BAND + 4) + rows[:, 2]
+        sums = np.concatenate([[0], np.cumsum(votes)])
+        lo, hi = np.searchsorted(line, line - BAND, "left"), np.searchsorted(line, line + BAND, "right")
+        out: dict[tuple[int, int], set[int]] = {}
+        for i in np.flatnonzero(sums[hi] - sums[lo] >= least[rows[:, 1]]).tolist():
+            out.setdefault((int(rows[i, 0]), int(rows[i, 1])), set()).update(rows[lo[i] : hi[i], 2].tolist())
+        return out
+
+    def found(self, text: pa.Array, percent: int = PERCENT) -> list[tuple[int, int, int, int, int, int]]:
+        """(row, item_id, words of the item, words matched, first word, word after the last) of each item in each text."""
+        w = Words(text)
+        h = w.hashes(folded)
+        hits: dict[tuple[int, int], set[int]] = {}
+        for rows in self._hits(self.tables, h, w.offsets):
+            for d, k, diagonal in np.unique(rows, axis=0).tolist():
                 hits.setdefault((d, k), set()).add(diagonal)
+        out = self._compared(h, w.offsets, hits, percent)
+        have = {(r[0], r[1]) for r in out}
+        more = {x: diagonals for x, diagonals in self._likely(h, w.offsets, percent).items() if x not in have}
+        return [(d, self.ids[k], *rest) for d, k, *rest in sorted(out + self._compared(h, w.offsets, more, percent))]
+
+    def _compared(self, h: np.ndarray, offsets: np.ndarray, hits: dict[tuple[int, int], set[int]], percent: int) -> list[tuple[int, int, int, int, int, int]]:
+        """As ``found``, with the item's number, of the items laid over the texts along the diagonals of ``hits``."""
         out = []
         for (d, k), diagonals in sorted(hits.items()):
-            own, best = h[w.offsets[d] : w.offsets[d + 1]], (0, 0, 0)
+            own, best = h[offsets[d] : offsets[d + 1]], (0, 0, 0)
             words, matched_on = self.words[k], {}
             for x in diagonals:
                 lo, hi = max(0, -x), min(len(words), len(own) - x)
@@ -114,7 +161,7 @@ class Block:
                     on = np.flatnonzero(match)
                     best = (int(match.sum()), max(0, int(on[0]) + x), min(len(own), int(on[-1]) + x + 1))
             if 100 * best[0] >= percent * len(words):
-                out.append((d, self.ids[k], len(words), *best))
+                out.append((d, k, len(words), *best))
         return out
 
 
