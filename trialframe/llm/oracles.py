@@ -41,7 +41,7 @@ def op5() -> str:
     assign = rf"""(?:{names})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
     value = rf"""^(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
     window = secret_scan.WINDOW
-    allowed = " OR ".join(f"regexp_full_match(m, {_quoted(p)})" for p in secret_scan.ALLOW)
+    allowed = " OR ".join(f"regexp_full_match(m, {_quoted(p.replace('++', '+').replace('*+', '*'))})" for p in secret_scan.ALLOW)
     bits = " ".join(f"WHEN regexp_full_match(m, {_quoted(c)}) THEN {b}" for _, c, b in secret_scan.CLASSES)
     return f"""
 WITH {_ROWS},
@@ -67,30 +67,30 @@ def op1() -> str:
         f"(1 + i % 2) * substr({digits}, (length({digits}) - i)::INT, 1)::INT - CASE WHEN i % 2 = 1 AND substr({digits}, (length({digits}) - i)::INT, 1)::INT > 4 THEN 9 ELSE 0 END)) % 10 = 0"
     )
     small = "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS INT), 256) > 255 AND length(ltrim(p, '0')) > 0)) = 0"
-    near = pii.CONTEXT
+    broader = f"CASE k WHEN 0 THEN regexp_extract(lower(m), '[^@]*$') WHEN 1 THEN regexp_extract(m, '^[0-9]+\\.[0-9]+') WHEN 2 THEN left({digits}, 6) ELSE left({digits}, 4) END"
+    share = "log2(n * n_et / (n_e::DOUBLE * n_t)) / log2(n / n_e)"
     return rf"""
 WITH {_ROWS},
 base AS ({_matches("d", 0, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")} UNION ALL {_matches("d", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", small)}
   UNION ALL {_matches("d", 2, r"[0-9](?:[\x20-]?[0-9])+", luhn)} UNION ALL {_matches("d", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15")}),
--- rows that repeat a doc_id and its text are counted once as to their spans
-one AS (SELECT min(r) AS r, doc_id, text FROM d GROUP BY doc_id, text),
-spans AS (SELECT row_number() OVER () AS n, r, text, s, e, m, k || ':' || lower(m) AS entity FROM base JOIN one USING (r)),
-cut AS (SELECT n, r, s, m, entity, regexp_extract(substr(text, greatest(0, s - {near}) + 1, s - greatest(0, s - {near})), '[^\n]*$') AS l, regexp_extract(substr(text, e + 1, {near}), '^[^\n]*') AS q FROM spans),
-line AS (SELECT n, r, entity, s - length(l) AS pos, l || m || q AS near, length(l) = {near} AS cut_left, length(q) = {near} AS cut_right FROM cut),
-word AS (SELECT line.r, line.entity, pos + w.s AS s, pos + w.e AS e, w.m AS term FROM ({_matches("line", 4, _WS, "length(m) > 1", "near", "n")}) w JOIN line USING (n)
-  WHERE NOT (cut_left AND w.s = 0) AND NOT (cut_right AND w.e = length(near))),
-context AS (SELECT * FROM word WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = word.r AND b.s < word.e AND b.e > word.s)),
-joint AS (SELECT entity, term, count(DISTINCT r) AS n_et FROM context GROUP BY entity, term HAVING count(DISTINCT r) >= {pii.SUPPORT}),
-of_entity AS (SELECT entity, count(DISTINCT r) AS n_e FROM spans GROUP BY entity),
-of_term AS (SELECT term, count(*) AS n_t FROM (SELECT DISTINCT r, unnest(regexp_extract_all(text, '{_WS}')) AS term FROM d) WHERE term IN (SELECT term FROM joint) GROUP BY term),
-total AS (SELECT count(*)::DOUBLE AS n FROM d),
-strong AS (SELECT entity, term, log2(n * n_et / (n_e::DOUBLE * n_t)) / log2(n / n_e) AS share FROM joint JOIN of_entity USING (entity) JOIN of_term USING (term), total WHERE n > n_e),
-hit AS (SELECT r, s, e, max(share) AS share FROM context JOIN strong USING (entity, term) WHERE share >= {pii.DISCLOSE} GROUP BY r, s, e),
-every AS (SELECT r, k, s, e FROM base JOIN one USING (r) UNION ALL SELECT r, CASE WHEN share >= {pii.REMOVE} THEN 4 ELSE 5 END, s, e FROM hit),
-agg AS (SELECT r, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone, count(*) FILTER (k = 4) AS n_term,
-  count(*) FILTER (k = 5) AS n_context, {_digest(pii.KINDS, "k, s")} FILTER (k < 4) AS base, {_digest(pii.KINDS, "k, s")} AS spans FROM every GROUP BY r)
-SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d JOIN one ON one.doc_id IS NOT DISTINCT FROM d.doc_id AND one.text = d.text LEFT JOIN agg ON agg.r = one.r
+entity AS (SELECT DISTINCT r, k || ':value:' || lower(m) AS entity FROM base UNION SELECT DISTINCT r, k || ':class:' || {broader} FROM base),
+word AS (SELECT r, s, e, m AS term, left(m, {pii.STEM}) AS stem FROM ({_matches("d", 4, _WS, f"length(m) > 1 AND NOT contains(m, chr(65535))")}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = w.r AND b.s < w.e AND b.e > w.s)),
+raw AS (SELECT * FROM (SELECT DISTINCT r, unnest(regexp_extract_all(text, '{_WS}')) AS term FROM d) WHERE length(term) > 1),
+of_token AS (SELECT 't' || term AS token, count(*) AS n_t FROM raw GROUP BY term UNION ALL SELECT 'c' || left(term, {pii.STEM}) AS token, count(DISTINCT r) FROM raw GROUP BY token),
+of_entity AS (SELECT entity, count(*) AS n_e FROM entity GROUP BY entity),
+token AS (SELECT DISTINCT r, 't' || term AS token FROM word UNION SELECT DISTINCT r, 'c' || stem FROM word),
+joint AS (SELECT entity, token, count(*) AS n_et FROM entity JOIN token USING (r) GROUP BY entity, token),
+total AS (SELECT count(*)::DOUBLE AS n, log2(greatest(1, (SELECT count(*) FROM of_token WHERE token[1] = 't' AND n_t > 1))) + {pii.SURE} AS chance FROM d),
+strong AS (SELECT DISTINCT token FROM joint JOIN of_entity USING (entity) JOIN of_token USING (token), total WHERE n_e BETWEEN 2 AND n - 1 AND n_t > 1 AND {share} >= {pii.DISCLOSE} AND n_et * log2(n / n_e) >= chance),
+hit AS (SELECT r, CASE WHEN 'c' || stem IN (SELECT token FROM strong) THEN 4 ELSE 5 END AS k, s, e, term FROM word WHERE 't' || term IN (SELECT token FROM strong)),
+every AS (SELECT r, k, s, e, ['[EMAIL]', '[IP]', '[CARD]', '[PHONE]'][k + 1] AS label FROM base UNION ALL SELECT r, k, s, e, CASE k WHEN 4 THEN '[REMOVED]' ELSE left(term, {pii.STEM}) || '*' END FROM hit),
+reach AS (SELECT *, coalesce(max(e) OVER (PARTITION BY r ORDER BY s, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM every),
+clean AS (SELECT r, string_agg(substr(text, p + 1, greatest(s - p, 0)) || CASE WHEN s >= p THEN label ELSE '' END, '' ORDER BY s, k) || any_value(substr(text, last + 1)) AS clean
+  FROM (SELECT *, max(e) OVER (PARTITION BY r) AS last FROM reach) JOIN d USING (r) GROUP BY r),
+agg AS (SELECT r, {", ".join(f"count(*) FILTER (k = {i}) AS n_{n}" for i, n in enumerate(pii.KINDS))}, {_digest(pii.KINDS, "k, s")} FILTER (k < 4) AS base, {_digest(pii.KINDS, "k, s")} AS spans FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in pii.KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(coalesce(clean, text)) AS clean_sha256
+FROM d LEFT JOIN agg USING (r) LEFT JOIN clean USING (r)
 """
 
 

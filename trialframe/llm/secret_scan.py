@@ -9,8 +9,9 @@ one that the entering character changes. Overlapping windows above the limit are
 Candidates that match the allow-list are suppressed; base spans are not.
 
 DataFrame expressions only, no shuffle. Defined cases: null text counts as "", which has no
-spans; a text of any length is scanned whole; repeated rows return a row each; empty
-table: empty result; other columns are not read, and pass through ``redact`` untouched.
+spans; a text of any length is scanned whole, in time in proportion (patterns neither recurse
+nor rescan); spans that start together are ordered by kind; repeated rows return a row each;
+empty table: empty result; other columns are not read, and pass through ``redact`` untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_rows
-from .spans import by_start, number_of, placed, replaced, written_as
+from .spans import by_start, let, number_of, placed, replaced, written_as
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW, BLOCK = 20, 256
@@ -31,7 +32,7 @@ CLASSES = (("hex", "[0-9a-fA-F]*", 3.0), ("lower", "[0-9a-z]*", 3.6), ("upper",
 ALLOW = (
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i).*(?:abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop|example|placeholder|changeme).*",
-    r"[A-Za-z]+(?:[/_-][A-Za-z]+)*(?:[/_=-]?[0-9]{1,4})?",
+    r"[A-Za-z]++(?:[/_-][A-Za-z]++)*+(?:[/_=-]?[0-9]{1,4})?",
 )
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9+/_.=-]++"
 ASSIGN_VALUE = r"^(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -67,10 +68,11 @@ def merged(spans: Column) -> Column:
 
 def in_blocks(value: Column, at: Column) -> Column:
     """Spans of a candidate of any length: blocks of ``BLOCK`` windows keep the cost of finding a character by its place low."""
-    starts = F.sequence(F.lit(0), F.length(value) - WINDOW, F.lit(BLOCK))
     # each block's text and limit are made once, as fields: an expression in the lambda below would be evaluated at every step
-    blocks = F.transform(F.array(F.struct(value.alias("v"), _limit(value).alias("limit"))), lambda c: F.transform(starts, lambda b: F.struct(c["v"].substr(b + F.lit(1), F.lit(BLOCK + WINDOW - 1)).alias("v"), (at + b).alias("at"), c["limit"].alias("limit"))))
-    return merged(F.flatten(F.transform(F.flatten(blocks), lambda x: high_windows(x["v"], x["at"], limit=x["limit"]))))
+    cut = F.regexp_extract_all(value, F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    whole = lambda c, i: F.concat(F.get(c, i), F.coalesce(F.left(F.get(c, i + 1), F.lit(WINDOW - 1)), F.lit("")))
+    blocks = let(F.struct(cut.alias("c"), _limit(value).alias("limit")), lambda x: F.transform(x["c"], lambda v, i: F.struct(whole(x["c"], i).alias("v"), (at + i * BLOCK).alias("at"), x["limit"].alias("limit"))))
+    return merged(F.flatten(F.transform(F.filter(blocks, lambda x: F.length(x["v"]) >= WINDOW), lambda x: high_windows(x["v"], x["at"], limit=x["limit"]))))
 
 
 def high_windows(value: Column, at: Column, window: int = WINDOW, limit: Column | None = None) -> Column:
@@ -109,27 +111,28 @@ def suspicious(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~allowed
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    rows = docs.withColumn("__base", base_spans(F.col("__text"))).withColumn("__candidates", placed(F.col("__text"), CANDIDATE, 3, suspicious))
+def _found(text: Column) -> Column:
+    """struct(base, every) of a text that isn't null: the patterns' spans, and theirs and the entropy scan's."""
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    method = F.when(F.size("__candidates") == 0, F.array().cast("array<struct<kind:int,start:int,end:int>>")).otherwise(F.flatten(F.transform("__candidates", lambda c: in_blocks(c["value"], c["start"]))))
-    return rows.withColumn("__all", F.concat(F.transform("__base", plain), method))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    method = let(placed(text, CANDIDATE, 3, suspicious), lambda c: F.when(F.size(c) == 0, none).otherwise(F.flatten(F.transform(c, lambda x: in_blocks(x["value"], x["start"])))))
+    return let(F.transform(base_spans(text), plain), lambda base: F.struct(base.alias("base"), F.concat(base, method).alias("every")))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base spans and all spans (kind, start, end) of each row."""
-    rows = _spans(text_rows(docs).withColumnRenamed("text", "__text"))
-    base = by_start(F.col("__base"))
-    return rows.select("doc_id", *(number_of(F.col("__all"), k).alias(f"n_{n}") for k, n in enumerate(KINDS)), F.sha2(written_as(base, KINDS), 256).alias("base_sha256"), written_as(by_start(F.col("__all")), KINDS).alias("spans"))
+    rows = text_rows(docs).withColumn("f", _found(F.col("text")))
+    base, every = by_start(F.col("f.base")), F.col("f.every")
+    return rows.select("doc_id", *(number_of(every, k).alias(f"n_{n}") for k, n in enumerate(KINDS)), F.sha2(written_as(base, KINDS), 256).alias("base_sha256"), written_as(by_start(every), KINDS).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of its texts replaced by ``[SECRET]``, and n_chars to match where that column exists; other columns as they are."""
-    own = docs.columns
-    rows = _spans(docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.withColumn("__new", replaced(F.col("__text"), F.col("__all"), ("[SECRET]",) * len(KINDS)))
-    hit = F.size("__all") > 0
-    new = {"text": F.when(hit, F.col("__new")).otherwise(F.col("text"))}
+    """``docs`` with the spans of its texts replaced by ``[SECRET]``, and n_chars to match where that column exists; other columns as they are, whatever their names."""
+    own, row = docs.columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("row", "text", _found(F.col("text"))["every"].alias("every"))
+    rows = rows.select("row", (F.size("every") > 0).alias("hit"), replaced(F.col("text"), F.col("every"), lambda s, t: F.lit("[SECRET]")).alias("clean"))
+    new = {"text": F.when(F.col("hit"), F.col("clean")).otherwise(F.col("row")["text"])}
     if "n_chars" in own:
-        new["n_chars"] = F.when(hit, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in own))
+        new["n_chars"] = F.when(F.col("hit"), F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in own))
