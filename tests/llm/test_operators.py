@@ -346,20 +346,23 @@ def brute_removed(rows, width: int) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("hot,shard", [(2000, 200_000), (20, 200), (1, 200)])
-def test_substrings(docs, empty, monkeypatch, hot, shard):
-    monkeypatch.setattr(substring, "HOT", hot)
+@pytest.mark.parametrize("shard", [200_000, 2000, 200])
+def test_substrings(docs, empty, monkeypatch, shard):
     monkeypatch.setattr(substring, "SHARD_WORDS", shard)
     got = rows_of(substring.dedup_substrings(docs))
     same([tuple(r.values()) for r in got], brute_removed(texts(), 50))
     assert substring.dedup_substrings(empty).count() == 0
 
 
-def test_a_hot_stretch_twice_in_a_document_goes_at_both_places(spark, monkeypatch):
+@pytest.mark.parametrize("shard", [200_000, 300])
+def test_passages_that_repeat_within_documents_and_periodic_texts(spark, monkeypatch, shard):
     rng = random.Random(7)
     a, b, c, d, p = (words(rng, n) for n in (50, 50, 50, 50, 60))
     rows = [(1, f"{a} {p} {b}"), (2, f"{c} {p} {d} {c} {p} {d}"), (2, f"x {c} {p} {d}"), (3, f"{c} {p} {d}")]
-    monkeypatch.setattr(substring, "HOT", 1)
+    rows += [(10 + i, ("tick " * (300 + i)) + words(rng, 30) + (" a b c" * 100) + " " + words(rng, 5) + " a b c" * 40) for i in range(6)]
+    rows += [(30 + i, " ".join(f"{words(rng, 10)} {p}" for _ in range(3))) for i in range(25)]
+    rows += [(60 + i, "the same phrase of eight words or so here " + " ".join(words(rng, 12) + " the same phrase of eight words or so here" for _ in range(20))) for i in range(6)]
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard)
     got = rows_of(substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")))
     same([tuple(r.values()) for r in got], brute_removed(rows, 50))
     assert {r["n_removed"] for r in got if r["n_words"] == 320} == {120}

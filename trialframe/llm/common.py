@@ -1,6 +1,6 @@
 """Shared pieces of the training-data operators.
 
-Driver side: the shared folder, tables that cut lineage, a bitmap of ids with a fixed size.
+Driver side: the shared folder, tables that cut lineage, a bitmap of ids with a bounded size.
 Executor side: Arrow record batches cut to a bounded number of text bytes, words and
 their 64-bit hashes, hashes of word windows. Words are ``[^\\x20\\x09-\\x0D]+``.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step on an executor handles at once; a longer single text is a step of its own.
 SLICE_BYTES = 6 << 20
-#: Bits of an id bitmap: 8,388,608 bits are 1 MiB, whatever the number of ids.
-FILTER_BITS = 1 << 23
+#: Bits of an id bitmap: 128 KiB to 16 MiB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _tables: list[tuple[SparkSession, str]] = []
 
 
@@ -31,9 +31,11 @@ _tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session gets one of its own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="trialframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # with the scheme of the default file system if it has none
@@ -76,27 +78,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of ``FILTER_BITS`` bits (1 MiB at any size) in which each id of ``ids`` sets the bit of its hash.
+class Ids:
+    """A bitmap in which each id of a table sets the bit of its hash: eight bits for each id, from ``LEAST_BITS`` to ``MOST_BITS``.
 
-    It lets a scan skip most rows whose id is not in ``ids``; a join afterwards is exact,
-    so a crowded bitmap costs time and changes no result.
+    It lets a scan skip most rows whose id is not in the table; a join afterwards is exact,
+    so a crowded bitmap (beyond some 17 million ids) costs time and changes no result.
     """
-    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
-    rows = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
-    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for r in rows:
-        out[r["k"]] = np.frombuffer(r["m"], np.uint8)
-    return out
 
+    def __init__(self, ids: DataFrame, column: str):
+        wanted = 8 * ids.select(column).count()
+        self.bits = min(max(1 << (wanted - 1).bit_length() if wanted else 0, LEAST_BITS), MOST_BITS)
+        bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(self.bits))
+        rows = ids.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).toLocalIterator()
+        self.map = np.zeros((self.bits // 32768 + 2, 4096), np.uint8)
+        for r in rows:
+            self.map[r["k"]] = np.frombuffer(r["m"], np.uint8)
 
-def in_bitmap(bitmap: DataFrame, hashed: np.ndarray) -> np.ndarray:
-    """Which of the hashes (``xxhash64`` of the id, a column that Spark computed) may be in the bitmap."""
-    b = np.mod(hashed.astype(np.int64), FILTER_BITS)
-    # bitmap_bucket_number counts from 1 for positions 1.., and position 0 shares bucket 0 with none
-    k = np.where(b > 0, 1 + (b - 1) // 32768, b // 32768)
-    p = np.where(b > 0, (b - 1) % 32768, (-b) % 32768)
-    return (bitmap[k, p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    def may_have(self, hashed: np.ndarray) -> np.ndarray:
+        """Which of the hashes (``xxhash64`` of the id, a column that Spark computed) may be in the table."""
+        b = np.mod(hashed.astype(np.int64), self.bits)
+        # bitmap_bucket_number counts from 1 for positions 1.., and position 0 shares bucket 0 with none
+        k = np.where(b > 0, 1 + (b - 1) // 32768, b // 32768)
+        p = np.where(b > 0, (b - 1) % 32768, (-b) % 32768)
+        return (self.map[k, p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
 
 
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -176,6 +180,23 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
         return mixed(out)
 
 
+def first_alike(words: "Words", width: int) -> np.ndarray:
+    """For each position the first from which its document has the same ``width`` words; where these don't fit, the position itself."""
+    n = len(words.codes)
+    out, starts = np.arange(n), starts_within(words.offsets, n, width)
+    if len(starts):
+        doc = words.document_of()[starts]
+        _, first, back = np.unique(windows(mixed(words.codes), width)[starts] ^ mixed(doc + 1), return_index=True, return_inverse=True)
+        again = np.flatnonzero(first[back] != np.arange(len(starts)))
+        if len(again):  # equal hashes are confirmed word by word
+            at, to = starts[again], starts[first[back[again]]]
+            same = doc[again] == doc[first[back[again]]]
+            for j in range(width):
+                same &= words.codes[at + j] == words.codes[to + j]
+            out[at[same]] = to[same]
+    return out
+
+
 def starts_within(offsets: np.ndarray, total: int, width: int) -> np.ndarray:
     """Positions from which ``width`` words belong to one document, ascending."""
     n = total - width + 1

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_bitmap, in_bitmap, mixed, plain, slices, starts_within, text_rows, windows, written
+from .common import Ids, Words, mixed, plain, slices, starts_within, text_rows, windows, written
 from .components import components
 
 BANDS, ROWS, MANTISSA = 24, 4, 10
@@ -97,10 +97,10 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """doc_id and shingle set of the documents in ``ids`` (and a few others, which a join drops)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "id"))  # 1 MiB
+    bitmap = docs.sparkSession.sparkContext.broadcast(Ids(ids, "id"))  # 16 MiB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(b.filter(pa.array(in_bitmap(bitmap.value, b.column(2).to_numpy(zero_copy_only=False)))) for b in batches):
+        for b in slices(b.filter(pa.array(bitmap.value.may_have(b.column(2).to_numpy(zero_copy_only=False)))) for b in batches):
             values, bounds = shingle_sets(plain(b.column(1)), size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([values[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "shingles"])
 

@@ -3,7 +3,8 @@
 1. Every run of ``WIDTH`` words has an anchor: the smallest hash among its ``GRAM``-word
    runs. Equal windows have equal anchors, so anchors deal the text into shards: only
    stretches whose anchor occurs in two or more documents are looked at further, each in
-   the shard of its anchor. Documents with equal word sequences are one document here.
+   the shard of its anchor. Documents with equal word sequences are one document here, and
+   windows that repeat within a document are looked at once, at their first place.
 2. A shard's stretches make one FM-index: suffix order, the Burrows-Wheeler text in a
    wavelet matrix of packed bits with counted ranks, a bit for each row whose common prefix
    with the row before is shorter than the window, and the smallest doc_id of each such
@@ -13,20 +14,23 @@
    the group of its first ``WIDTH`` words. Matching statistics are thus capped at the
    threshold; where they reach it and the group has a smaller doc_id, the window is
    reported.
-
-A shard holds whole anchors, about ``SHARD_WORDS`` words at once. Anchors in more than
-``HOT`` documents have no bounded shard; their windows are compared by 128-bit hashes and a
-pre-aggregated minimum instead, which is exact for them.
+4. A shard has at most about ``SHARD_WORDS`` words. An anchor with more is dealt over several, and
+   what its shards leave (of equal windows, the smallest document's) goes through
+   another round, under its anchor and its next smallest hash. So equal windows shrink by the shard's
+   size in each round, different ones are told apart, and no task grows with a passage's copies.
 
 Defined cases: null or empty text has no words, nothing removed, and the hash of "". Equal
 windows within one document, or in rows with the same doc_id, remove nothing. A null doc_id
-neither removes nor loses words. Repeated rows return a row each. Empty table: empty result.
+neither removes nor loses words. A text of any length is handled whole, in stretches of at most
+``LONGEST`` windows. Repeated rows return a row each. Empty table: empty result. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_bitmap, in_bitmap, partitions, plain, slices, starts_within, text_rows, windows, written
+from .common import Ids, Words, first_alike, mixed, partitions, plain, slices, starts_within, text_rows, windows, written
 
 WIDTH, GRAM = 50, 8
-SHARD_WORDS = 200_000
-HOT = 2000
+SHARD_WORDS, LONGEST = 200_000, 256
 
 
 # ------------------------------------------------------------------- the index
@@ -152,10 +155,12 @@ class FMIndex:
 # --------------------------------------------------------------------- anchors
 
 
-def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each maximal run of windows with one anchor: its document, the anchor's hash, the first and the last window's start."""
+def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int, alike: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run of windows with one anchor: its document, the anchor's hash, the first and the last window's start; windows that have been there, by ``alike``, are left out."""
     grams = windows(hashes, gram)
     starts = starts_within(offsets, len(hashes), width)
+    if alike is not None:
+        starts = starts[alike[starts] == starts]
     if not len(starts):
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     span = width - gram + 1
@@ -167,11 +172,28 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> t
     low = np.minimum(low[:n], low[span - size : span - size + n])
     low = low[starts]
     doc = np.searchsorted(offsets, starts, "right") - 1
+    first, last = _runs(low, doc, starts)
+    return doc[first], low[first], starts[first], starts[last]
+
+
+def _runs(key: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each run of neighbouring windows with one key and one owner, ``LONGEST`` of them at most."""
     new = np.ones(len(starts), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
+    at = np.arange(len(starts))
+    new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % LONGEST == 0
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return doc[first], low[first], starts[first], starts[last]
+    return first, np.append(first[1:], len(starts)) - 1
+
+
+def refined(hashes: np.ndarray, keys: np.ndarray, level: int, width: int, gram: int) -> np.ndarray:
+    """For each window of ``hashes`` that begins at one of ``keys``' places, the key with the window's ``level``-th smallest hash (from 0) in it."""
+    grams = windows(hashes, gram)
+    span = width - gram + 1
+    if level >= span or not len(keys):
+        return keys
+    view = np.lib.stride_tricks.sliding_window_view(grams, span)
+    return mixed(keys.view(np.uint64) ^ mixed(np.partition(view, level, axis=1)[:, level])).view(np.int64)
 
 
 def _joined(words: list[bytes]) -> str:
@@ -185,7 +207,7 @@ def _scanned(docs: DataFrame, width: int) -> DataFrame:
         for b in slices(batches):
             w = Words(plain(b.column(1)))
             texts = [x.encode().split() for x in b.column(1).to_pylist()]
-            doc, low, lo, hi = anchors(w.hashes(), w.offsets, width, GRAM)
+            doc, low, lo, hi = anchors(w.hashes(), w.offsets, width, GRAM, first_alike(w, width))
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))]).astype(np.int32)
             base = w.offsets[doc]
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (low.view(np.int64), (lo - base).astype(np.int32), (hi - base).astype(np.int32))]
@@ -200,19 +222,16 @@ def _scanned(docs: DataFrame, width: int) -> DataFrame:
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, key and text of the documents in ``ids`` (and a few others, which a join drops)."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, "doc_id"))  # 1 MiB
+    bitmap = docs.sparkSession.sparkContext.broadcast(Ids(ids, "doc_id"))  # 16 MiB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(b.filter(pa.array(in_bitmap(bitmap.value, b.column(2).to_numpy(zero_copy_only=False)))) for b in batches):
+        for b in slices(b.filter(pa.array(bitmap.value.may_have(b.column(2).to_numpy(zero_copy_only=False)))) for b in batches):
             keys = [xxhash.xxh3_128_digest(b" ".join(x.encode().split())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), b.column(1)], ["id", "id_key", "text"])
 
     return text_rows(docs, F.xxhash64(F.col("doc_id").cast("long")).alias("hash")).filter("doc_id is not null").mapInArrow(run, "id long, id_key binary, text string")
 
 
-_PLACE = "doc_id long, key binary, first int"
-
-
 def _stretches(rows: DataFrame, width: int) -> DataFrame:
     """anchor, document, first window and words of each listed stretch."""
 
@@ -229,127 +248,125 @@ def _stretches(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, doc_id long, key binary, first int, words string")
 
 
-def search_shard(words: pa.Array, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Builds the index of a shard and streams its stretches through it."""
+FOUND = "anchor long, doc_id long, key binary, first int, stop int, words string"
+
+
+def searched(anchor: np.ndarray, docs: np.ndarray, keys: list[bytes], first: np.ndarray, words: pa.Array, parts: np.ndarray, level: int, width: int) -> pa.RecordBatch:
+    """Rows of ``FOUND``, from stretches that make one index: reported intervals (no anchor), and what is left of anchors in several parts, under their next keys."""
     w = Words(words)
-    index = FMIndex(w.codes, w.offsets, docs, width)
-    return index.matched(w.codes, w.offsets, docs)
+    lane, start = FMIndex(w.codes, w.offsets, docs, width).matched(w.codes, w.offsets, docs)
+    out: dict[str, list] = {name: [] for name in ("anchor", "doc_id", "key", "first", "stop", "words")}
 
+    def row(*cells) -> None:
+        for column, cell in zip(out.values(), cells):
+            column.append(cell)
 
-def _merged(lane: np.ndarray, start: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
     order = np.lexsort((start, lane))
     lane, start = lane[order], start[order]
     new = np.ones(len(lane), bool)
     new[1:] = (lane[1:] != lane[:-1]) | (start[1:] > start[:-1] + width)
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(lane)) - 1
-    yield from zip(lane[heads].tolist(), start[heads].tolist(), (start[tails] + width).tolist())
-
-
-def _searched(stretches: DataFrame, width: int) -> DataFrame:
-    """Removed intervals, from stretches dealt and sorted by anchor."""
-
-    def report(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts).combine_chunks()
-        docs, first, keys = t["doc_id"].to_numpy(), t["first"].to_numpy(), t["key"].to_pylist()
-        rows = list(_merged(*search_shard(t["words"].combine_chunks() if isinstance(t["words"], pa.ChunkedArray) else t["words"], docs, width), width))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([int(docs[i]) for i, _, _ in rows], pa.int64()), pa.array([keys[i] for i, _, _ in rows], pa.binary()), pa.array([int(first[i]) + x for i, x, _ in rows], pa.int32()), pa.array([int(first[i]) + y for i, _, y in rows], pa.int32())],
-            ["doc_id", "key", "start", "stop"],
-        )
+    tails = np.append(heads, len(lane))[1:] - 1
+    for i, x, y in zip(lane[heads].tolist(), start[heads].tolist(), (start[tails] + width).tolist()):
+        row(None, int(docs[i]), keys[i], int(first[i]) + x, int(first[i]) + y, None)
+    bounds, hashes = np.searchsorted(lane, np.arange(len(docs) + 1)), None
+    for i in np.flatnonzero(parts > 1).tolist():
+        hashes = w.hashes() if hashes is None else hashes
+        own = hashes[w.offsets[i] : w.offsets[i + 1]]
+        left = np.ones(len(own) - width + 1, bool)
+        left[start[bounds[i] : bounds[i + 1]]] = False
+        left = np.flatnonzero(left)
+        if len(left):
+            key = refined(own, np.full(len(own) - width + 1, anchor[i]), level, width, GRAM)[left]
+            text = words[i].as_py().split(" ")
+            for a, b in zip(*_runs(key, np.zeros(len(left)), left)):
+                row(int(key[a]), int(docs[i]), keys[i], int(first[i] + left[a]), None, " ".join(text[left[a] : left[b] + width]))
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string()))], list(out))
+
+
+def _round(stretches: DataFrame, level: int, width: int) -> DataFrame:
+    """``FOUND`` of the stretches, each anchor's dealt over as many shards as its words need."""
+    size = F.sum(F.size(F.split("words", " ")))
+    of = stretches.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.ceil(size / SHARD_WORDS).cast("int").alias("parts")).filter("x < y")
+    dealt = stretches.join(of.select("anchor", "parts"), "anchor").withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "first", F.lit(level)), F.col("parts")).cast("int"))
+    dealt = dealt.select("anchor", "part", "parts", "doc_id", "key", "first", "words").repartition(partitions(stretches.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part")
+
+    def index(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        words = t["words"].combine_chunks() if isinstance(t["words"], pa.ChunkedArray) else t["words"]
+        return searched(t["anchor"].to_numpy(), t["doc_id"].to_numpy(), t["key"].to_pylist(), t["first"].to_numpy(), words, t["parts"].to_numpy(), level, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0  # whole anchors; the last one of held may go on
+        held, size, last = [], 0, None  # whole shards; the last one of held may go on
         for b in slices(batches, "words", 1 << 20):
-            anchor = b.column(0).to_numpy()
+            shard = np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()])
             if held and size >= SHARD_WORDS * 6:
-                cut = 0 if anchor[0] != held[-1].column(0)[-1].as_py() else int(np.searchsorted(anchor != anchor[0], True)) if (anchor != anchor[0]).any() else len(anchor)
-                if cut < len(anchor):
-                    yield report(held + ([b.slice(0, cut)] if cut else []))
-                    held, size, b = [], 0, b.slice(cut)
+                other = (shard != last).any(1)
+                cut = int(np.argmax(other)) if other.any() else len(other)
+                if cut < len(other):
+                    yield index(held + ([b.slice(0, cut)] if cut else []))
+                    held, size, b, shard = [], 0, b.slice(cut), shard[cut:]
             held.append(b)
-            size += pc.sum(pc.binary_length(b.column(4))).as_py()
+            size, last = size + pc.sum(pc.binary_length(b.column(6))).as_py(), shard[-1]
         if held:
-            yield report(held)
-
-    return stretches.mapInArrow(run, "doc_id long, key binary, start int, stop int")
-
-
-def _hot(stretches: DataFrame, width: int) -> DataFrame:
-    """Removed windows of anchors without a bounded shard, by a minimum over equal windows.
-
-    Equal stretches are one first: all but the smallest document's go as a whole. What is found
-    in a stretch of the smallest document goes at each of its places there.
-    """
-    stretches = stretches.withColumn("same", F.unhex(F.md5("words")))
-    firsts = stretches.groupBy("same").agg(F.min("doc_id").alias("least")).withColumnRenamed("same", "s")
-    tagged = written(stretches.join(firsts, F.col("same") == F.col("s")), "hot")
-    copies = tagged.filter("least < doc_id").select("doc_id", "key", F.col("first").alias("start"), (F.col("first") + F.size(F.split("words", " "))).alias("stop"))
-    places = tagged.filter("least = doc_id").select(F.col("same").alias("s"), "doc_id", "key", "first")
-    stretches = tagged.filter("least = doc_id").dropDuplicates(["same"]).select("same", "doc_id", "words")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "words", 1 << 18):
-            out = []
-            for same, d, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                w = text.encode().split()
-                out += [(xxhash.xxh3_128_digest(b" ".join(w[i : i + width])), d, same, i) for i in range(len(w) - width + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int32()))], ["window", "of", "same", "offset"])
+            yield index(held)
 
-    every = written(stretches.mapInArrow(run, "window binary, of long, same binary, offset int"), "windows")
-    least = every.groupBy("window").agg(F.min("of").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    found = every.join(least, "window").filter("least < of").select("same", "offset")
-    start = F.col("first") + F.col("offset")
-    return copies.union(places.join(found, F.col("s") == F.col("same")).select("doc_id", "key", start.alias("start"), (start + width).alias("stop")))
+    return dealt.mapInArrow(run, FOUND)
 
 
-def _applied(rows: DataFrame) -> DataFrame:
-    """doc_id, key, n_removed, sha and kept text, from the texts and their removed intervals."""
+def _applied(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, key, n_removed, sha and kept text, from the texts and the intervals found; windows go wherever the document has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = []
-            for d, k, text, cuts in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words, kept, at = text.encode().split(), [], 0
-                for c in sorted((c["start"], c["stop"]) for c in cuts):
-                    kept += words[at : max(at, c[0])]
-                    at = max(at, c[1])
-                kept += words[at:]
-                out.append((d, k, len(words) - len(kept), _joined(kept), b" ".join(kept).decode()))
+            w, out = Words(plain(b.column(2))), []
+            hit = np.zeros(len(w.codes) + 1, np.int64)
+            for base, cuts in zip(w.offsets.tolist(), b.column(3).to_pylist()):
+                for c in cuts:
+                    hit[base + c["first"] : base + c["stop"] - width + 1] = 1
+            hit = hit[:-1][first_alike(w, width)] if len(w.codes) else hit[:-1]
+            at = np.flatnonzero(hit)
+            edge = np.zeros(len(w.codes) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + width, -1)
+            kept = np.cumsum(edge[:-1]) == 0
+            for i, (d, k, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(3)))):
+                words, keep = text.encode().split(), kept[w.offsets[i] : w.offsets[i + 1]]
+                words = [words[j] for j in np.flatnonzero(keep)]
+                out.append((d, k, len(keep) - len(words), _joined(words), b" ".join(words).decode()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()))], ["id", "id_key", "removed", "cut_sha", "kept_text"])
 
     return rows.mapInArrow(run, "id long, id_key binary, removed long, cut_sha string, kept_text string")
 
 
 def removed_intervals(docs: DataFrame, scanned: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, key and the word intervals to remove, for the first of the documents with equal words."""
+    """doc_id, key and the word intervals (first, stop) to remove, for the first of the documents with equal words."""
     some = scanned.filter(f"n_words >= {width} and doc_id is not null")
     firsts = some.groupBy("key").agg(F.min("doc_id").alias("least"))
     own = some.join(firsts, "key").filter("doc_id = least").dropDuplicates(["key"]).select("doc_id", "key", F.explode(F.arrays_zip("anchor", "first", "last")).alias("r")).select("doc_id", "key", "r.*")
     own = written(own, "anchors")
-    shared = own.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").select("anchor", "n")
-    runs = written(own.join(shared, "anchor"), "runs")
+    shared = own.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
+    runs = written(own.join(shared, "anchor", "left_semi"), "runs")
     by_doc = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("runs"))
     texts = _texts(docs, runs)
     listed = by_doc.join(texts, (by_doc.doc_id == texts.id) & (by_doc.key == texts.id_key)).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "runs")
-    stretches = _stretches(listed, width)
-    hot = shared.filter(F.col("n") > HOT).select("anchor")
-    n = partitions(docs.sparkSession)
-    if not hot.limit(1).count():
-        return _searched(stretches.repartition(n, "anchor").sortWithinPartitions("anchor"), width)
-    stretches = written(stretches, "stretches")
-    cold = _searched(stretches.join(hot, "anchor", "left_anti").repartition(n, "anchor").sortWithinPartitions("anchor"), width)
-    return cold.union(_hot(stretches.join(hot, "anchor", "left_semi"), width))
+    stretches, level, rounds = written(_stretches(listed, width), "stretches"), 1, []
+    while True:
+        rounds.append(written(_round(stretches, level, width), "round"))
+        stretches = rounds[-1].filter("anchor is not null").select("anchor", "doc_id", "key", "first", "words")
+        if not stretches.limit(1).count():
+            return reduce(DataFrame.unionByName, rounds).filter("anchor is null").select("doc_id", "key", "first", "stop")
+        level += 1
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed intervals' effect for each row of ``docs``."""
     scanned = written(_scanned(docs, width), "scanned")
     intervals = written(removed_intervals(docs, scanned, width), "intervals")
-    cuts = intervals.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    cuts = intervals.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))
     texts = _texts(docs, intervals)
     rows = cuts.join(texts, (cuts.doc_id == texts.id) & (cuts.key == texts.id_key)).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "cuts")
-    applied = _applied(rows).select("id", "id_key", "removed", "cut_sha")
+    applied = _applied(rows, width).select("id", "id_key", "removed", "cut_sha")
     least = scanned.filter(f"n_words >= {width} and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("least")).withColumnRenamed("key", "k")
     out = scanned.select("doc_id", "n_words", "key", "sha").join(least, F.col("key") == F.col("k"), "left").join(applied, (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("id_key")), "left")
     copy = F.col("least") < F.col("doc_id")
