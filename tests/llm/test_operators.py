@@ -454,10 +454,11 @@ def brute_components(rows, size: int, percent: int) -> list[tuple]:
     return [(d, len(s), None if d is None else root(d), d is None or root(d) == d) for d, s in sets]
 
 
-@pytest.mark.parametrize("small,block,size,percent", [(48, 384, 3, 85), (5, 16, 3, 85), (48, 384, 5, 80)])
-def test_near_duplicates(docs, empty, monkeypatch, small, block, size, percent):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("block,shingles,size,percent", [(384, 4_000_000, 3, 85), (7, 400, 5, 80)])
+def test_near_duplicates(docs, empty, monkeypatch, block, shingles, size, percent):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "STAR", block)
     got = rows_of(neardup.near_duplicates(docs, size, percent))
     same([tuple(r.values()) for r in got], brute_components(texts(), size, percent))
     kept = neardup.keep_one(docs, size, percent)
@@ -467,6 +468,26 @@ def test_near_duplicates(docs, empty, monkeypatch, small, block, size, percent):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [384, 5])
+def test_families_whose_members_are_not_like_their_smallest(spark, monkeypatch, block):
+    """Chains and clusters within groups: the links are between members, few of them with the first."""
+    rng, rows = random.Random(21), []
+    base = words(rng, 140).split()
+    for i in range(70):  # neighbours are similar, ends are not
+        for j in rng.sample(range(140), 2):
+            base[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(base)))
+    core = words(rng, 100)
+    for k in range(9):  # clusters that share most of their words, but not enough
+        own = words(rng, 14)
+        rows += [(200 + 10 * i + k, f"{core} {own} {words(rng, 2)}") for i in range(4)]
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85))
+    want = brute_components(rows, 3, 85)
+    assert 3 < len({x[2] for x in want}) < 40
+    same([tuple(r.values()) for r in got], want)
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(1000, 1001), (1001, 1001)], "a long, b long"))
     got = {r["v"]: r["component"] for r in rows_of(components(chain))}

@@ -125,6 +125,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
+    """Of rows that are sorted by their first ``columns`` columns: a table for each distinct value of these."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for k in range(columns):
+            new[1:] |= pc.not_equal(b.column(k)[1:], b.column(k)[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = not held or any(held[-1].column(k)[-1] != b.column(k)[0] for k in range(columns))
+        at = np.flatnonzero(new)
+        if held and len(at):
+            yield pa.Table.from_batches([*held, b.slice(0, at[0])])
+            held = []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield pa.Table.from_batches([b.slice(x, y - x)])
+        held.append(b.slice(at[-1]) if len(at) else b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def plain(column: pa.Array) -> pa.Array:
     """A string column without nulls."""
     return pc.fill_null(column.cast(pa.string()), "")
