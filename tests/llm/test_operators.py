@@ -237,6 +237,27 @@ def test_every_item_is_found_from_half_of_its_words_on():
     assert lost == []
 
 
+def test_repetitive_texts_are_compared_in_proportion():
+    import pyarrow as pa
+
+    block = decontam.Block([(1, "a " * 100), (2, "a b " * 60), (3, " ".join(f"z{i}" for i in range(40)))])
+    text = pa.array(["a " * 200_000, "a b c " * 60_000, "", "b " * 90 + " ".join(f"z{i}" for i in range(40))])
+    began = time.perf_counter()
+    found = block.found(text)
+    assert time.perf_counter() - began < 60
+    assert found[:2] == [(0, 1, 100, 100, 0, 97), (0, 2, 120, 60, 0, 116)] and (3, 3, 40, 40, 90, 130) in found
+
+
+def test_bands_of_diagonals_give_what_all_pairs_of_them_give():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        words, own = rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(1, 60)).astype(np.uint64)
+        diagonals = np.unique(rng.integers(-8, 60, rng.integers(1, 30)))
+        on = {x: [0 <= j + x < len(own) and words[j] == own[j + x] for j in range(len(words))] for x in diagonals.tolist()}
+        want = [[any(on[y][j] for y in on if abs(y - x) <= decontam.BAND) for j in range(len(words))] for x in on]
+        assert decontam._matches(words, own, diagonals).tolist() == want
+
+
 def test_licenses(docs, empty):
     got = [(r["doc_id"], r["license"], r["start"], r["end"]) for r in rows_of(licenses.license_spans(docs))]
     same(got, [(180, "CC-BY-NC-4.0", 4, 32), (181, "GPL-3.0", 0, 70), (182, "MIT", 0, 31)])

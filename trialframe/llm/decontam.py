@@ -16,7 +16,9 @@ fixed bound.
 
 An item is found where at least ``PERCENT`` of its words match. Items shorter than a mask
 use a contiguous seed of their own length. Defined cases: null or empty texts, on either
-side, match nothing; repeated rows return a row each; ties between diagonals go to the
+side, match nothing; a text of any length, and one that repeats itself, is compared whole, in time in proportion
+to its length and its items' (each diagonal is compared once, with a sliding band) and in bounded memory;
+repeated rows return a row each; a null item_id is no item; ties between diagonals go to the
 first place in the text; empty tables give an empty result; ``filter_documents`` keeps
 other columns.
 """
@@ -40,6 +42,8 @@ PERCENT = 50
 BAND = 3
 BLOCK_WORDS = 1_000_000
 TABLE_BITS = 21
+#: Hits, or cells of a comparison, that are held at once.
+STEP = 2_000_000
 #: Punctuation that is dropped at a word's ends.
 ENDS = ".,;:!?\"'()[]{}<>«»¿¡…#*$%&|-"
 
@@ -69,6 +73,7 @@ class Block:
         h = w.hashes(folded)
         self.ids = [i for i, _ in items]
         self.words = [h[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:])]
+        self.longest = max(map(len, self.words), default=0)
         span = max(map(len, masks))
         places: dict[str, list] = {}
         for k, words in enumerate(self.words):
@@ -92,79 +97,103 @@ class Block:
             tables[mask] = (value[order], item[order], at[order], near)
         return tables
 
-    @staticmethod
-    def _hits(tables: dict[str, tuple], h: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """For each mask: text, item and diagonal of each hit."""
+    def _hits(self, tables: dict[str, tuple], h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Diagonals that the tables' seeds hit, as ascending numbers (see ``_number``), and how often; at most ``STEP`` hits are held at once."""
+        keys, votes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for mask, (value, item, at, near) in tables.items():
             s = seeds(h, mask)
             where = np.flatnonzero(near[s & np.uint64((1 << TABLE_BITS) - 1)])
             lo, hi = np.searchsorted(value, s[where], "left"), np.searchsorted(value, s[where], "right")
-            where, lo, hi = where[hi > lo], lo[hi > lo], hi[hi > lo]
-            if not len(where):
-                continue
             doc = np.searchsorted(offsets, where, "right") - 1
-            fits = where + len(mask) <= offsets[doc + 1]
-            where, lo, hi, doc = where[fits], lo[fits], hi[fits], doc[fits]
-            each = np.repeat(np.arange(len(where)), hi - lo)
-            entry = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
-            yield np.column_stack([doc[each], item[entry], where[each] - at[entry] - offsets[doc[each]]]) if len(each) else np.zeros((0, 3), int)
-
-    def _likely(self, h: np.ndarray, offsets: np.ndarray, percent: int) -> dict[tuple[int, int], set[int]]:
-        """Diagonals, by text and item, that have pairs enough, with their neighbours."""
-        every = np.concatenate([np.zeros((0, 3), int), *self._hits(self.pairs, h, offsets)])
-        if not len(every):
-            return {}
-        every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-        first = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]).any(1)]))
-        rows, votes = every[first], np.diff(np.append(first, len(every)))
-        size = np.array([len(x) for x in self.words])
-        matches = -(-percent * size // 100)
-        least = np.maximum(1, -((size - 1 - 3 * (matches - 1)) // 2))
-        group = np.cumsum(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
-        # diagonals of one text and item are far from those of another
-        line = group * (4 * int(np.abs(rows[:, 2]).max()) + 4 * BAND + 4) + rows[:, 2]
-        sums = np.concatenate([[0], np.cumsum(votes)])
-        lo, hi = np.searchsorted(line, line - BAND, "left"), np.searchsorted(line, line + BAND, "right")
-        out: dict[tuple[int, int], set[int]] = {}
-        for i in np.flatnonzero(sums[hi] - sums[lo] >= least[rows[:, 1]]).tolist():
-            out.setdefault((int(rows[i, 0]), int(rows[i, 1])), set()).update(rows[lo[i] : hi[i], 2].tolist())
-        return out
+            fits = (hi > lo) & (where + len(mask) <= offsets[doc + 1])
+            where, lo, count, doc = where[fits], lo[fits], (hi - lo)[fits], doc[fits]
+            ends = np.cumsum(count)
+            begin = 0
+            while begin < len(where):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, "right")))
+                c = count[begin:end]
+                each = np.repeat(np.arange(begin, end), c)
+                entry = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c) + lo[each]
+                k, n = np.unique(self._number(doc[each], item[entry], where[each] - at[entry] - offsets[doc[each]], offsets), return_counts=True)
+                keys.append(k)
+                votes.append(n)
+                begin = end
+                if sum(map(len, keys)) > STEP:
+                    keys, votes = ([x] for x in _added(keys, votes))
+        return _added(keys, votes)
+
+    def _range(self, offsets: np.ndarray) -> int:
+        return int(np.diff(offsets).max(initial=0)) + self.longest + 4 * BAND + 4
+
+    def _number(self, doc, item, diagonal, offsets: np.ndarray) -> np.ndarray:
+        """Text, item and diagonal as one number; diagonals of one text and item are far from those of another."""
+        return (doc * len(self.words) + item) * self._range(offsets) + diagonal + self.longest + 2 * BAND + 2
 
     def found(self, text: pa.Array, percent: int = PERCENT) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item_id, words of the item, words matched, first word, word after the last) of each item in each text."""
         w = Words(text)
         h = w.hashes(folded)
-        hits: dict[tuple[int, int], set[int]] = {}
-        for rows in self._hits(self.tables, h, w.offsets):
-            for d, k, diagonal in np.unique(rows, axis=0).tolist():
-                hits.setdefault((d, k), set()).add(diagonal)
-        out = self._compared(h, w.offsets, hits, percent)
-        have = {(r[0], r[1]) for r in out}
-        more = {x: diagonals for x, diagonals in self._likely(h, w.offsets, percent).items() if x not in have}
-        return [(d, self.ids[k], *rest) for d, k, *rest in sorted(out + self._compared(h, w.offsets, more, percent))]
-
-    def _compared(self, h: np.ndarray, offsets: np.ndarray, hits: dict[tuple[int, int], set[int]], percent: int) -> list[tuple[int, int, int, int, int, int]]:
-        """As ``found``, with the item's number, of the items laid over the texts along the diagonals of ``hits``."""
-        out = []
-        for (d, k), diagonals in sorted(hits.items()):
-            own, best = h[offsets[d] : offsets[d + 1]], (0, 0, 0)
-            words, matched_on = self.words[k], {}
-            for x in diagonals:
-                lo, hi = max(0, -x), min(len(words), len(own) - x)
-                match = np.zeros(len(words), bool)
-                if hi > lo:
-                    match[lo:hi] = words[lo:hi] == own[lo + x : hi + x]
-                matched_on[x] = match
-            for x in sorted(matched_on):
-                match = np.logical_or.reduce([m for y, m in matched_on.items() if abs(y - x) <= BAND])
-                if int(match.sum()) > best[0]:
-                    on = np.flatnonzero(match)
-                    best = (int(match.sum()), max(0, int(on[0]) + x), min(len(own), int(on[-1]) + x + 1))
-            if 100 * best[0] >= percent * len(words):
-                out.append((d, k, len(words), *best))
+        if not self.words or not len(h):
+            return []
+        out = self._compared(h, w.offsets, self._hits(self.tables, h, w.offsets)[0], percent, set())
+        keys, votes = self._hits(self.pairs, h, w.offsets)
+        # diagonals with pairs enough in their band, and their neighbours
+        item = keys // self._range(w.offsets) % len(self.words)
+        size = np.array([len(x) for x in self.words])
+        least = np.maximum(1, -((size - 1 - 3 * (-(-percent * size // 100) - 1)) // 2))
+        sums = np.concatenate([[0], np.cumsum(votes)])
+        lo, hi = np.searchsorted(keys, keys - BAND, "left"), np.searchsorted(keys, keys + BAND, "right")
+        likely = np.flatnonzero(sums[hi] - sums[lo] >= least[item])
+        edge = np.zeros(len(keys) + 1, np.int64)
+        np.add.at(edge, lo[likely], 1)
+        np.add.at(edge, hi[likely], -1)
+        out += self._compared(h, w.offsets, keys[np.cumsum(edge[:-1]) > 0], percent, {(r[0], r[1]) for r in out})
+        return [(d, self.ids[k], *rest) for d, k, *rest in sorted(out)]
+
+    def _compared(self, h: np.ndarray, offsets: np.ndarray, keys: np.ndarray, percent: int, done: set) -> list[tuple[int, int, int, int, int, int]]:
+        """As ``found``, with the item's number, of the items laid over the texts along the diagonals of ``keys``, but for pairs in ``done``."""
+        out, reach = [], self._range(offsets)
+        pair, diagonal = keys // reach, keys % reach - self.longest - 2 * BAND - 2
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(keys)]):
+            d, k = divmod(int(pair[a]), len(self.words))
+            if (d, k) in done:
+                continue
+            own, words = h[offsets[d] : offsets[d + 1]], self.words[k]
+            n, best = len(words), (0, 0, 0)
+            rows = max(2 * BAND + 1, STEP // n)  # as many diagonals at once, with their neighbours to either side
+            for x in range(a, b, rows):
+                lo, hi = max(a, x - BAND), min(b, x + rows + BAND)
+                match = _matches(words, own, diagonal[lo:hi])
+                count = match.sum(axis=1)
+                i = int(np.argmax(count[x - lo : min(b, x + rows) - lo])) + x - lo
+                if count[i] > best[0]:
+                    on = np.flatnonzero(match[i])
+                    best = (int(count[i]), max(0, int(on[0] + diagonal[lo + i])), min(len(own), int(on[-1] + diagonal[lo + i]) + 1))
+            if 100 * best[0] >= percent * n:
+                out.append((d, k, n, *best))
         return out
 
 
+def _added(keys: list[np.ndarray], votes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sums of their votes."""
+    k, back = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(back, np.concatenate(votes), len(k)).astype(np.int64)
+
+
+def _matches(words: np.ndarray, own: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """For each of the ascending diagonals which words match on it or on one of the others up to ``BAND`` away."""
+    at = diagonals[:, None] + np.arange(len(words))
+    inside = (at >= 0) & (at < len(own))
+    on = inside & (own[np.where(inside, at, 0)] == words)
+    out = on.copy()
+    for step in range(1, min(BAND, len(diagonals) - 1) + 1):
+        close = (diagonals[step:] - diagonals[:-step] <= BAND)[:, None]
+        out[step:] |= on[:-step] & close
+        out[:-step] |= on[step:] & close
+    return out
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
     """The items in ascending order, in blocks of at most ``limit`` words (or one item), read as a stream."""
     held, size = [], 0
