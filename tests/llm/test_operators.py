@@ -17,7 +17,7 @@ from trialframe.llm import decontam, licenses, neardup, packing, pii, quality, q
 from trialframe.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, source string, n_words long, key string, host string, id string, hash int, start int"
+SCHEMA = "doc_id long, text string, source string, n_words long, key string, host string, bad_host string, gone_id int, start int"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 
 
@@ -264,6 +264,79 @@ def test_licenses(docs, empty):
     assert licenses.license_spans(empty).count() == 0
 
 
+def brute_aligned(template, text, diagonal: int, band: int) -> tuple[int, int, int]:
+    """The same alignment, cell by cell."""
+    width, n, low = 2 * band + 1, len(template), -(1 << 30)
+    start, n = min(n, max(0, -diagonal - band)), max(0, min(n, len(text) - diagonal + band))
+    score, back = [[0] * width] * (start + 1), [[0] * width] * (start + 1)
+    for i in range(start + 1, n + 1):
+        best, step = [], []
+        for k in range(width):
+            j = i + diagonal - band + k
+            ways = [(score[-1][k + 1] - 1 if k + 1 < width else low, 1)]
+            if 1 <= j <= len(text):
+                ways.append((score[-1][k] + (2 if template[i - 1] == text[j - 1] else -1), 2))
+            best.append(max(ways)[0]), step.append(max(ways)[1])
+        for k in range(1, width):
+            if 1 <= i + diagonal - band + k <= len(text) and best[k - 1] - 1 > best[k]:
+                best[k], step[k] = best[k - 1] - 1, 3
+        score.append(best), back.append(step)
+    k = max(range(width), key=lambda x: (score[n][x], -abs(x - band)))
+    i, matched, first, last = n, 0, 0, 0
+    while i > start and 0 <= k < width:
+        j = i + diagonal - band + k
+        if back[i][k] == 2:
+            if template[i - 1] == text[j - 1]:
+                matched, first, last = matched + 1, j - 1, last or j
+            i -= 1
+        elif back[i][k] == 1:
+            i, k = i - 1, k + 1
+        else:
+            k -= 1
+    return matched, first, last
+
+
+def test_alignments_are_those_of_every_cell():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        template = rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64)
+        texts = [rng.integers(0, 6, rng.integers(1, 60)).astype(np.uint64) for _ in range(6)]
+        bounds, diagonal = np.cumsum([0, *map(len, texts)]), rng.integers(-9, 30, 6)
+        got = list(zip(*(x.tolist() for x in licenses.aligned(template, np.concatenate(texts), bounds[:-1], bounds[1:], diagonal, 3))))
+        assert got == [brute_aligned(template, x, int(d), 3) for x, d in zip(texts, diagonal)]
+
+
+def test_licenses_are_those_of_every_diagonal():
+    """No index and every diagonal give the same matches: texts in which some words are changed, and a few added."""
+    import pyarrow as pa
+
+    rng, index = random.Random(31), licenses.Index(licenses.TEMPLATES)
+    docs = [("", None), (words(rng, 60), None), ("a " * 20_000, None)]
+    for name, text in licenses.TEMPLATES.items():
+        w = text.split()
+        for share in (0.0, 0.06, 0.12):
+            out = list(w)
+            for n, i in enumerate(rng.sample(range(len(w)), int(share * len(w)))):
+                out[i] = "two words" if n < 3 else "other"
+            docs.append((words(rng, rng.randrange(9)) + " " + " ".join(out).upper() + "\n" + words(rng, 5), name))
+    found = index.found(pa.array([t for t, _ in docs]))
+    for d, (text, name) in enumerate(docs):
+        own = licenses.Words(pa.array([text])).hashes(licenses.folded)
+        spans = []
+        for t, template in enumerate(index.words if 0 < len(own) < 5000 else []):
+            diagonals = np.arange(-licenses.BAND, len(own))
+            for m, x, y in zip(*(x.tolist() for x in licenses.aligned(template, own, np.zeros(len(diagonals), int), np.full(len(diagonals), len(own)), diagonals))):
+                if 100 * m >= licenses.PERCENT * len(template):
+                    spans.append((-m, -m / len(template), x, y, t))
+        kept: list[tuple] = []
+        for span in sorted(spans):
+            if all(span[3] <= k[2] or span[2] >= k[3] for k in kept):
+                kept.append(span)
+        got = [r for r in found if r[0] == d]
+        assert [(r[1], -r[4]) for r in got] == [(index.names[k[4]], k[0]) for k in sorted(kept, key=lambda k: k[2])], (name, text)
+        assert name is None or any(r[1] == name or r[4] >= 4 for r in got)
+
+
 # ---- 4: archives
 
 
@@ -333,6 +406,49 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_pieces_go_to_the_tightest_bin_without_a_conflict(spark, monkeypatch, shard):
+    rng = random.Random(13)
+    monkeypatch.setattr(packing, "SHARD", shard)
+    rows = [(None if i % 3 == 0 else i % 90, "hot" if i % 2 else f"s{i % 7}" if i % 5 else None, words(rng, rng.choice((0, 1, 7, 7, 20, 33, 64, 150)))) for i in range(230)] + [(7, "hot", "same text here")] * 80
+    table = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    found = rows_of(packing.pack(table, capacity=64))
+    # conflicts are looked up by the text that a piece is of; rows of one doc_id may have several
+    by_text = packing.pieces(table, 64)
+    assert by_text.groupBy("row").count().count() == len(rows)
+    shards = collections.Counter(r["bin"].split("-")[0] for r in found if r["bin"])
+    assert len(shards) == -(-len(rows) // shard) and max(shards.values()) < 4 * shard
+    bins: dict = {}
+    for r in found:
+        if r["n_tokens"]:
+            bins.setdefault(r["bin"], []).append(r)
+        else:
+            assert r["bin"] is None and r["place"] is None
+    assert all(sum(r["n_tokens"] for r in b) <= 64 and sorted(r["place"] for r in b) == list(range(len(b))) for b in bins.values())
+    pieces = collections.Counter((r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in found)
+    assert pieces == collections.Counter((r["doc_id"], r["piece"], r["first_token"], r["n_tokens"]) for r in rows_of(by_text))
+
+
+def test_packing_of_a_table_step_by_step(spark, monkeypatch):
+    """Distinct ids, so each piece's source and cluster are known: every step takes the tightest compatible bin of its shard, and no bin has a conflict."""
+    rng = random.Random(14)
+    monkeypatch.setattr(packing, "SHARD", 60)
+    rows = [(i, rng.choice(("hot", "hot", "a", "b", None)), rng.choice((words(rng, rng.randrange(1, 90)), "one of many copies " * 3))) for i in range(200)]
+    found = rows_of(packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string"), capacity=64))
+    shards: dict = {}
+    for r in found:
+        shards.setdefault(r["bin"].split("-")[0], []).append(r)
+    assert len(shards) == 4
+    for pieces in shards.values():
+        bins: dict = {}
+        for r in sorted(pieces, key=lambda r: (-r["n_tokens"], r["doc_id"], r["piece"])):
+            s, c = rows[r["doc_id"]][1:]
+            fits = {k: 64 - sum(x[0] for x in b) for k, b in bins.items() if 64 - sum(x[0] for x in b) >= r["n_tokens"] and all(x[1] != s and x[2] != c for x in b)}
+            assert (r["bin"] not in bins) if not fits else fits.get(r["bin"]) == min(fits.values())
+            assert r["place"] == len(bins.get(r["bin"], []))
+            bins.setdefault(r["bin"], []).append((r["n_tokens"], s, c))
+
+
 def test_bins_take_the_tightest_compatible_one():
     rng, bins, state = random.Random(1), packing.Bins(50), {}
     for _ in range(800):

@@ -14,7 +14,8 @@ shard leaves at most a few bins less full than one long list would. A piece that
 bin closes it.
 
 Defined cases: null or empty text: a piece of no tokens, in no bin (bin null). A null
-source is a source of its own. Ties go to the smaller doc_id. Repeated rows are pieces of
+source is a source of its own. A null doc_id, or one that many rows share, is dealt over all shards
+by row. Ties go to the smaller doc_id. A text of any length is cut whole. Repeated rows are pieces of
 their own, and of one cluster. Empty table: empty result; other columns are not read.
 """
 
@@ -86,13 +87,13 @@ class Bins:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, source: str = "source", cluster: str | None = None) -> DataFrame:
-    """doc_id, piece, first_token, n_tokens, source, cluster. Without a cluster column, equal texts are a cluster."""
+    """doc_id, piece, first_token, n_tokens, source, cluster, number of the row. Without a cluster column, equal texts are a cluster."""
     rows = text_rows(docs, F.xxhash64(F.col(source).cast("string"), F.col(source).isNull()).alias("s"), (F.xxhash64(F.col(cluster).cast("string")) if cluster else F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("c"))
-    sized = rows.select("doc_id", "s", "c", F.regexp_count("text", F.lit(WORD.replace("+", "++"))).cast("long").alias("n"))
+    sized = rows.select("doc_id", "s", "c", F.monotonically_increasing_id().alias("row"), F.regexp_count("text", F.lit(WORD.replace("+", "++"))).cast("long").alias("n"))
     every = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1)))
-    cut = sized.select("doc_id", "s", "c", "n", every.alias("piece"))
+    cut = sized.select("doc_id", "s", "c", "row", "n", every.alias("piece"))
     first = (F.col("piece") * F.lit(capacity)).cast("long")
-    return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n") - first).cast("long").alias("n_tokens"), "s", "c")
+    return cut.select("doc_id", "piece", first.alias("first_token"), F.least(F.lit(capacity), F.col("n") - first).cast("long").alias("n_tokens"), "s", "c", "row")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, source: str = "source", cluster: str | None = None) -> DataFrame:
@@ -100,15 +101,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, source: str = "source", clus
     cut = pieces(docs, capacity, source, cluster)
     # a row has one piece at least: the number of shards follows the number of rows, which is one count
     shards = max(1, -(-docs.count() // SHARD))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "s", "c", "row"), F.lit(shards)).cast("int"))
     # a task takes several shards, one after the other, where there are more shards than partitions
-    dealt = dealt.repartition(min(shards, max(partitions(docs.sparkSession), 2)), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece")
+    dealt = dealt.repartition(min(shards, max(partitions(docs.sparkSession), 2)), "shard").sortWithinPartitions("shard", F.desc("n_tokens"), "doc_id", "piece", "s", "c", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins, sources, clusters = None, None, {}, {}
         for b in batches:
             names, places = [], []
-            for size, s, c, shard in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6))):
+            for size, s, c, shard in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 7))):
                 if shard != now:
                     now, bins, sources, clusters = shard, Bins(capacity), {}, {}
                 if size:

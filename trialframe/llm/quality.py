@@ -5,9 +5,10 @@ Each document is measured over its whole text. Rule failures are summed by host
 shrunk with a beta prior fitted to all hosts, and a host whose shrunk rate passes
 ``HOST_LIMIT`` for a rule is rejected with all its documents.
 
-Defined cases: null text counts as no words (fails); a null host is a host of its own;
-repeated rows count and return once each; an empty table gives an empty result; other
-columns pass through ``filter_documents`` untouched and are not read otherwise.
+Defined cases: null text counts as no words (fails); a text of any length is measured whole;
+a null host is a host of its own; repeated rows count and return once each; a rate that equals the
+limit is not above it; an empty table gives an empty result; other
+columns, whatever their names, pass through ``filter_documents`` untouched and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -133,20 +134,26 @@ def _sized(hosts: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The measures of each row with ``base_failed``, ``host_rejected`` and ``kept``."""
     m = written(measures(docs, host), "measures")
-    bad = _sized(host_verdicts(m, limit))
-    j = m.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & F.lit(True), "left_anti").withColumn("host_rejected", F.lit(False))
-    r = m.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_semi").withColumn("host_rejected", F.lit(True))
-    return j.unionByName(r).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+    bad = _sized(host_verdicts(m, limit)).withColumn("is_bad", F.lit(True))
+    j = m.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").drop("bad_host")
+    j = j.withColumn("host_rejected", F.coalesce("is_bad", F.lit(False))).drop("is_bad").withColumn("base_failed", base_failed())
+    return j.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def filter_documents(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs``, with their own columns, that pass the rules and whose host is not rejected."""
-    bad = _sized(host_verdicts(written(measures(docs, host), "measures"), limit))
+    """The rows of ``docs``, with their own columns, that pass the rules and whose host is not rejected. Each text is measured once."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(own, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(host).cast("string").alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            n, _, _, _, repeat = measure(plain(b.column(b.schema.get_field_index("text"))))
-            yield b.filter(pa.array((n >= MIN_WORDS) & (100 * repeat <= MAX_REPEAT_PERCENT * n)))
+            found = [pa.array(x.astype(np.int64)) for x in measure(plain(b.column(1)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *found], ["row", "host", *(x.split()[0] for x in MEASURES.split(", "))])
 
-    own = docs.join(bad, docs[host].cast("string").eqNullSafe(F.col("bad_host")), "left_anti")
-    return own.mapInArrow(run, docs.schema)
+    schema = rows.select("row", "host").schema
+    for x in MEASURES.split(", "):
+        schema = schema.add(x.split()[0], "long")
+    m = written(rows.mapInArrow(run, schema), "measured")
+    bad = _sized(host_verdicts(m, limit))
+    kept = m.filter(~base_failed()).join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
