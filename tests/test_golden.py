@@ -155,3 +155,27 @@ def test_scanners():
 
 def test_adapters_run(spark):
     assert adapters.frame(spark, "/root/testdata/sf0.001", "a_states").count() > 0
+
+
+def test_long_lists_pair_off_without_recursion():
+    from trialframe.functions import values
+
+    numbers = list(range(3000))
+    assert values.equal_after_normalization(numbers, [str(n) for n in numbers]) and values.equal_after_normalization([*numbers[1:], 0], numbers[:1] + numbers[1:])
+    assert not values.equal_after_normalization(numbers, numbers[:-1] + [-1])
+    pairs = {0: {0, 1}, 1: {0}, 2: {1, 2}, 3: {2, 3}}  # augmenting paths are needed here
+    assert values.matched([3, 2, 0, 1], [0, 1, 2, 3], lambda x, y: y in pairs[x]) and not values.matched([0, 1, 1], [0, 1, 2], lambda x, y: y in pairs[x])
+
+
+def test_line_diff_is_the_longest_common_subsequence():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("xyz") for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        same = table[-1][-1]
+        assert scanners.line_diff("\n".join(a), "\n".join(b)) == (len(b) - same, len(a) - same, same)

@@ -86,12 +86,16 @@ def complexity(code: str) -> tuple[float, int, int, int]:
 def line_diff(before: str, after: str) -> tuple[int, int, int]:
     """(added, removed, same) lines of a longest common subsequence; an empty text has no lines."""
     a, b = (x.split("\n") if x else [] for x in (before, after))
-    row = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return len(b) - row[-1], len(a) - row[-1], row[-1]
+    # bit-parallel: a zero of ``row`` is a place of ``a`` where the subsequence grows
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every = row = (1 << len(a)) - 1
+    for y in b:
+        step = row & places.get(y, 0)
+        row = ((row + step) | (row - step)) & every
+    same = len(a) - row.bit_count()
+    return len(b) - same, len(a) - same, same
 
 
 def functions_of(code: str) -> list[dict]:

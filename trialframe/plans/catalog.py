@@ -38,13 +38,13 @@ query("s1_duplicates", "a_findings", lambda f: s.duplicate_ids(f.withColumnRenam
 query("s4_tiers", "a_problem_runs", lambda p: s.of_tiers(p, ["INTRODUCTORY", "Interview"], "sub_tier").select("task_id", "sub_tier"), "SELECT task_id, sub_tier FROM a_problem_runs WHERE lower(sub_tier) IN ('introductory', 'interview')")
 query("s6_problem_list", "a_problem_runs a_files", lambda p, f: p.select(F.col("task_id").alias("id"), F.col("benchmark").alias("title"), "sub_tier").unionByName(f.select(F.col("file_id").alias("id"), F.col("path").alias("title")), allowMissingColumns=True), "SELECT task_id AS id, benchmark AS title, sub_tier FROM a_problem_runs UNION ALL SELECT file_id, path, NULL FROM a_files")
 query("s7_lookup", "a_runs", lambda d: s.lookup(d, "GERMANY".lower(), "run_id").select("run_id", "n"), "SELECT run_id, n FROM a_runs WHERE lower(run_id) = 'germany'")
-query("s15_suites", "a_files documents", lambda f, d: f.select("file_id", F.sha2("content", 256).alias("h")).join(d.filter("doc_id % 2 = 0").select(F.sha2("text", 256).alias("h")).distinct(), "h").select("file_id", "h"), "SELECT file_id, sha256(content) AS h FROM a_files WHERE sha256(content) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+query("s15_suites", "a_files documents", lambda f, d: f.select("file_id", F.sha2("content", 256).alias("h")).join(d.select(F.sha2("text", 256).alias("h")).distinct(), "h").select("file_id", "h"), "SELECT file_id, sha256(content) AS h FROM a_files WHERE sha256(content) IN (SELECT sha256(text) FROM documents)")
 
 query("q1_cohort", "a_steps", lambda x: s.hashed_cohort(x.filter("s0 <> 'PASS'"), "task_id", 40, 7).select("task_id"), "SELECT task_id FROM a_steps WHERE s0 <> 'PASS' ORDER BY sha256('7:' || task_id) LIMIT 40")
 query("q2_shuffled", "a_problem_runs", lambda p: s.hashed_cohort(p, "task_id", 25, 11).select("task_id", "benchmark"), "SELECT task_id, benchmark FROM a_problem_runs ORDER BY sha256('11:' || task_id) LIMIT 25")
 query("q3_stratified", "a_problem_runs", lambda p: s.stratified(p.filter("not (task_id % 4 = 0)"), "benchmark", "task_id", 20, 3).select("benchmark", "task_id", "place"), "SELECT benchmark, task_id, place FROM (SELECT benchmark, task_id, row_number() OVER (PARTITION BY benchmark ORDER BY sha256('3:' || task_id)) AS place FROM a_problem_runs WHERE task_id % 4 <> 0) WHERE place <= 20")
-query("q4_split", "a_findings", lambda f: s.visible(f.filter("ord <= 6").select(F.col("report_id").alias("task_id"), F.col("ord").alias("no"), F.col("file").alias("input"), F.lit("see m1.py and m2.py").alias("prompt"))).select("task_id", "no", "is_visible"), "SELECT report_id AS task_id, ord AS no, CASE WHEN bool_or(file IN ('m1.py', 'm2.py')) OVER (PARTITION BY report_id) THEN file IN ('m1.py', 'm2.py') ELSE ord <= 3 END AS is_visible FROM a_findings WHERE ord <= 6")
+query("q4_split", "a_findings", lambda f: s.visible(f.select(F.col("report_id").alias("task_id"), F.col("ord").alias("no"), F.col("file").alias("input"), F.lit("see m1.py and m2.py").alias("prompt"))).select("task_id", "no", "is_visible"), "SELECT report_id AS task_id, ord AS no, CASE WHEN bool_or(file IN ('m1.py', 'm2.py')) OVER (PARTITION BY report_id) THEN file IN ('m1.py', 'm2.py') ELSE ord <= 3 END AS is_visible FROM a_findings")
 query("q5_cases", "a_findings", lambda f: s.partitioned_cases(f.select(F.col("report_id").alias("task_id"), F.col("ord").alias("no"), F.expr("case when line = 0 then 'timeout' when line = 1 then 'exception' else 'ok' end").alias("outcome"))), "SELECT report_id AS task_id, outcome, string_agg(ord, ',' ORDER BY ord) AS indices FROM (SELECT *, CASE WHEN line = 0 THEN 'timeout' WHEN line = 1 THEN 'exception' ELSE 'ok' END AS outcome FROM a_findings) GROUP BY ALL")
 query("q6_failed_suites", "a_findings", lambda f: f.filter("severity = 'CRITICAL'").select("report_id", "file").distinct(), "SELECT DISTINCT report_id, file FROM a_findings WHERE severity = 'CRITICAL'")
 query("q7_suite_text", "a_files", lambda f: f.select("file_id", s.case_literal("content").alias("literal")), "SELECT file_id, CASE WHEN length(content) > 4096 THEN 'sha256:' || sha256(content) ELSE '''' || replace(replace(replace(content, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n') || '''' END AS literal FROM a_files")
-query("q9_sorted", "a_problem_runs", lambda p: p.orderBy("benchmark", F.asc_nulls_first("sub_tier"), "task_id").limit(100).select("task_id"), "SELECT task_id FROM a_problem_runs ORDER BY benchmark, sub_tier NULLS FIRST, task_id LIMIT 100")
+query("q9_sorted", "a_problem_runs", lambda p: p.orderBy("benchmark", F.asc_nulls_first("sub_tier"), "task_id").select("task_id"), "SELECT task_id FROM a_problem_runs ORDER BY benchmark, sub_tier NULLS FIRST, task_id")

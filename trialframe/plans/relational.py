@@ -17,7 +17,7 @@ _NORM = "regexp_replace(path, '^(\\./)+', '')"
 query("p5_test_files", "a_files", lambda f: f.select("file_id", r.normal_path().alias("path"), r.is_test_file().alias("is_test")), f"SELECT file_id, {_NORM} AS path, lower(category) = 'test' OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(test_.*|.*_test)\\.py$|^conftest\\.py$') AS is_test FROM a_files")
 query("p6_capped", "a_findings", lambda f: r.first_of(f.filter("severity <> 'LOW'"), ["report_id", "technique"], "ord", 3).select("report_id", "technique", "ord", "place"), "SELECT * FROM (SELECT report_id, technique, ord, row_number() OVER (PARTITION BY report_id, technique ORDER BY ord) AS place FROM a_findings WHERE severity <> 'LOW') WHERE place <= 3")
 query("q8_caps", "a_findings", lambda f: r.first_of(f, "report_id", "ord", 5).select("report_id", "ord", "place"), "SELECT report_id, ord, ord AS place FROM a_findings WHERE ord <= 5")
-query("p8_merge_gate", "a_findings", lambda f: r.merge_gate(f.filter("ord < 4")), "SELECT report_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'BLOCKED' WHEN bool_or(severity = 'HIGH') THEN 'PASS_WITH_WARNINGS' ELSE 'APPROVED' END AS gate, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(severity = 'HIGH') THEN 'HIGH' WHEN bool_or(severity = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS risk, coalesce(string_agg(message, '; ' ORDER BY ord) FILTER (severity IN ('CRITICAL', 'HIGH')), '') AS top FROM a_findings WHERE ord < 4 GROUP BY report_id")
+query("p8_merge_gate", "a_findings", lambda f: r.merge_gate(f), "SELECT report_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'BLOCKED' WHEN bool_or(severity = 'HIGH') THEN 'PASS_WITH_WARNINGS' ELSE 'APPROVED' END AS gate, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' WHEN bool_or(severity = 'HIGH') THEN 'HIGH' WHEN bool_or(severity = 'MEDIUM') THEN 'MEDIUM' ELSE 'LOW' END AS risk, coalesce(array_to_string(list_slice(list(message ORDER BY ord) FILTER (severity IN ('CRITICAL', 'HIGH')), 1, 3), '; '), '') AS top FROM a_findings GROUP BY report_id")
 _S = "CASE WHEN ord % 7 = 0 THEN 'FAIL' WHEN ord % 11 = 0 THEN 'ERROR' WHEN report_id % 5 = 0 THEN 'SKIP' ELSE 'PASS' END"
 query("p9_verdict", "a_findings", lambda f: r.verdict(f.filter("ord <= 2 + report_id % 13").select("report_id", F.expr("CASE WHEN ord % 2 = 0 THEN 'tests' ELSE 'x' END").alias("technique"), F.expr(_S).alias("status"), F.col("line").alias("n_total"), (F.col("line") % 3).alias("n_failed"))), f"SELECT report_id, CASE WHEN bool_or(s = 'FAIL') THEN 'FAIL' WHEN bool_or(s = 'ERROR') THEN 'ERROR' WHEN bool_or(ord % 2 = 0 AND s = 'PASS' AND line > 0 AND line % 3 = 0) AND NOT bool_or(s = 'SKIP') THEN 'VERIFIED' ELSE 'NOT_VERIFIED' END AS verdict FROM (SELECT *, {_S} AS s FROM a_findings WHERE ord <= 2 + report_id % 13) GROUP BY report_id")
 _ST = "CASE WHEN finding_id % 5 = 0 THEN 'FAIL' WHEN finding_id % 5 = 1 THEN 'SKIP' ELSE 'PASS' END"
@@ -29,7 +29,7 @@ query("p13_fallback", "a_steps", lambda s: s.select("task_id", F.coalesce(F.expr
 query("p14_bands", "a_steps", lambda s: s.select("task_id", band(F.expr("CASE WHEN task_id % 9 > 0 THEN task_id % 100 END")).alias("band")), "SELECT task_id, CASE WHEN task_id % 9 = 0 THEN 'none' WHEN task_id % 100 >= 80 THEN 'high' WHEN task_id % 100 >= 50 THEN 'medium' ELSE 'low' END AS band FROM a_steps")
 _TECH = "CASE line WHEN 1 THEN 'Radon metrics' WHEN 2 THEN 'Security scan' ELSE technique END"
 query("p15_explanations", "a_findings", lambda f: f.withColumn("technique", F.expr(_TECH)).select("finding_id", r.explanation().alias("kind")),
-      "SELECT finding_id, CASE " + " ".join(f"WHEN contains(m, '{w}') THEN '{k}'" for w, k in r.MESSAGE_KINDS) + " " + " ".join(f"WHEN contains(t, '{w}') THEN '{k}'" for w, k in r.TECHNIQUE_KINDS) + f" ELSE 'other' END AS kind FROM (SELECT finding_id, lower(message) AS m, {_TECH} AS t FROM a_findings)")
+      "SELECT finding_id, CASE " + " ".join(f"WHEN contains(m, '{w}') THEN '{k}'" for w, k in r.MESSAGE_KINDS) + " " + " ".join(f"WHEN contains(t, '{w}') THEN '{k}'" for w, k in r.TECHNIQUE_KINDS) + f" ELSE '{r.OTHER_KIND}' END AS kind FROM (SELECT finding_id, lower(message) AS m, {_TECH} AS t FROM a_findings)")
 query("p16_verified", "a_problem_runs", lambda p: p.agg(F.count_if(F.expr("CASE WHEN passed THEN 'Verified' ELSE 'no' END").contains("Verified")).alias("n")), "SELECT count(*) FILTER (passed) AS n FROM a_problem_runs")
 query("p17_path_tree", "a_files", r.path_tree, f"SELECT node, depth, min(file_id) AS file_id FROM (SELECT array_to_string(p[1:d], '/') AS node, d AS depth, CASE WHEN d = len(p) THEN file_id END AS file_id FROM (SELECT file_id, p, unnest(range(1, len(p) + 1)) AS d FROM (SELECT file_id, string_split({_NORM}, '/') AS p FROM a_files))) GROUP BY ALL")
 query("j4_code_pairs", "a_files a_problem_runs", lambda f, p: f.select(F.col("file_id").alias("task_id"), F.length("content").alias("n")).join(p.select("task_id", "benchmark"), "task_id").groupBy("benchmark").agg(F.avg("n").alias("mean"), F.count("*").alias("n")), "SELECT benchmark, avg(length(content)) AS mean, count(*) AS n FROM a_files f JOIN a_problem_runs p ON f.file_id = p.task_id GROUP BY benchmark")
@@ -40,7 +40,7 @@ query("j7_changed", "a_files", lambda f: r.paired(f.filter("file_id % 5 > 0"), f
 _REF = ", ".join(f"('{a}', {x}::DOUBLE, {y}::DOUBLE, true)" for a, x, y in REFERENCE_ROWS)
 query("j8_ablation", "a_runs", lambda d: r.ablation(d.filter("n < 4").select("run_id", F.col("n").cast("double").alias("rsr1"), F.col("k").cast("double").alias("rsr2"))), f"SELECT run_id, n::DOUBLE AS rsr1, k::DOUBLE AS rsr2, false AS published FROM a_runs WHERE n < 4 UNION ALL SELECT * FROM (VALUES {_REF})")
 query("x1_accounting", "a_findings", lambda f: r.accounting(f.filter("is_before"), f.filter("not is_before"), "report_id", ["signal", "file"]), "SELECT report_id, sum(b)::BIGINT AS found, sum(least(a, b))::BIGINT AS remaining, sum(greatest(0, b - a))::BIGINT AS resolved, sum(greatest(0, a - b))::BIGINT AS introduced FROM (SELECT report_id, count(*) FILTER (is_before) AS b, count(*) FILTER (NOT is_before) AS a FROM a_findings GROUP BY report_id, signal, file) GROUP BY report_id")
-query("x2_category_changes", "a_findings", lambda f: r.category_changes(f.filter("is_before and ord < 20").withColumnRenamed("signal", "category"), f.filter("not is_before and ord < 20").withColumnRenamed("signal", "category"), "report_id"), "SELECT report_id, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT b), '') AS introduced, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT a), '') AS resolved FROM (SELECT report_id, signal, bool_or(is_before) AS b, bool_or(NOT is_before) AS a FROM a_findings WHERE ord < 20 GROUP BY ALL) GROUP BY report_id")
+query("x2_category_changes", "a_findings", lambda f: r.category_changes(f.filter("is_before").withColumnRenamed("signal", "category"), f.filter("not is_before").withColumnRenamed("signal", "category"), "report_id"), "SELECT report_id, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT b), '') AS introduced, coalesce(string_agg(signal, ',' ORDER BY signal) FILTER (NOT a), '') AS resolved FROM (SELECT report_id, signal, bool_or(is_before) AS b, bool_or(NOT is_before) AS a FROM a_findings GROUP BY ALL) GROUP BY report_id")
 query("x3_distinct_first", "a_findings", lambda f: distinct_first(f, ["signal", "file", "line", "message"], "report_id").select("finding_id"), "SELECT arg_min(finding_id, ord) AS finding_id FROM a_findings GROUP BY report_id, signal, file, line, message")
 query("x5_history", "a_findings", lambda f: r.history(f, "message", "finding_id"), "SELECT message, max(finding_id) AS finding_id FROM a_findings GROUP BY message ORDER BY 2 DESC LIMIT 30")
 query("x6_merged", "a_states", lambda s: r.merged(s.withColumn("source", F.lit(0)).unionByName(s.filter("event_id % 3 = 0").withColumn("state", F.lit("Z")).withColumn("source", F.lit(1))), ["task_id", "i"], "source", "state"), "SELECT task_id, i, CASE WHEN event_id % 3 = 0 THEN 'Z' ELSE state END AS state FROM a_states")

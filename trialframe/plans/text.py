@@ -26,15 +26,28 @@ _M = lambda f: f.select("file_id", t.line_metrics(F.concat("content", F.lit("\n#
 query("t11_line_metrics", "a_files", _M, "SELECT file_id, n, c AS comments, ((2000 * c + n) // (2 * n)) / 10.0 AS pct FROM (SELECT file_id, count(*) AS n, count(*) FILTER (regexp_matches(l, '^\\s*#')) AS c FROM (SELECT file_id, unnest(string_split(content || chr(10) || '# x' || chr(10), chr(10))) AS l FROM a_files) WHERE regexp_matches(l, '\\S') GROUP BY file_id)")
 _CODE = "concat('import os', chr(10), 'def f(x):', chr(10), '    if x and ', file_id, ':', chr(10), '        return g(x)', chr(10))"
 query("t12_complexity", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), lambda c: [sc.complexity(c)], "mean double, most long, calls long, imports long"), "SELECT file_id, 3.0::DOUBLE AS mean, 3::BIGINT AS most, 1::BIGINT AS calls, 1::BIGINT AS imports FROM a_files")
-query("t14_line_diff", "a_files", lambda f: sc.scanned(f.filter("length(content) < 2000"), lambda c: [sc.line_diff(c, "first\n" + c + "\nlast")], "added long, removed long, same long"), "SELECT file_id, CASE WHEN content = '' THEN 3 ELSE 2 END::BIGINT AS added, 0::BIGINT AS removed, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END::BIGINT AS same FROM a_files WHERE length(content) < 2000")
+query("t14_line_diff", "a_files", lambda f: sc.scanned(f, lambda c: [sc.line_diff(c, "first\n" + c + "\nlast")], "added long, removed long, same long"), "SELECT file_id, CASE WHEN content = '' THEN 3 ELSE 2 END::BIGINT AS added, 0::BIGINT AS removed, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END::BIGINT AS same FROM a_files")
 query("t15_functions", "a_files", lambda f: sc.scanned(f.select("file_id", F.expr(_CODE).alias("content")), lambda c: [(x["name"], x["line"], x["end_line"], x["has_return"]) for x in sc.functions_of(c)], "name string, line long, end_line long, has_return boolean"), "SELECT file_id, 'f' AS name, 2::BIGINT AS line, 4::BIGINT AS end_line, true AS has_return FROM a_files")
 _LINES = "(SELECT file_id, path, n::BIGINT AS n, l AS line FROM (SELECT file_id, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM {}))"
-_hits = lambda rules: "unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(line, {q(p)})" + (f" AND NOT regexp_matches(line, {q(o)})" if o and not o.startswith('CWE') else "") + f" THEN {q(n)} END" for n, p, o in rules) + "], lambda x: x IS NOT NULL)) AS title"
-query("t16_secret_lines", "a_files", lambda f: t.line_findings(t.line_table(f), t.SECRETS), f"SELECT file_id, n, {_hits(t.SECRETS)} FROM {_LINES.format('a_files')}")
+def _hits(rules) -> str:
+    def one(name, severity, rule_id, needs, excludes, path):
+        hit = " AND ".join([*(f"regexp_matches(line, {q(p)})" for p in needs), *(f"NOT regexp_matches(line, {q(p)})" for p in excludes), *([f"regexp_matches(path, {q(path)})"] if path else [])])
+        title = f"replace(replace({q(name)}, '{{length}}', length(line)::VARCHAR), '{{word}}', regexp_extract(line, '#\\s*(TODO|FIXME|HACK|XXX|WARN)', 1))"
+        return f"CASE WHEN {hit} THEN {{'title': {title}, 'severity': {q(severity)}, 'rule_id': {q(rule_id)}, 'rule': {q(name)}}} END"
+
+    return "unnest(list_filter([" + ", ".join(one(*r) for r in rules) + "], lambda x: x IS NOT NULL)) AS f"
+
+
+_flat = "SELECT file_id, n, f.title AS title, f.severity AS severity, f.rule_id AS rule_id, f.rule AS rule FROM "
+query("t16_secret_lines", "a_files", lambda f: t.line_findings(t.line_table(f), t.SECRET_RULES), f"{_flat} (SELECT file_id, n, {_hits(t.SECRET_RULES)} FROM {_LINES.format('a_files')})")
 _PY = "concat(content, chr(10), CASE file_id % 5 WHEN 0 THEN 'try: x' WHEN 1 THEN 'except:  # noqa' WHEN 2 THEN 'y = eval(z)  # TODO x' WHEN 3 THEN 'def f(a=[]): print(1)' ELSE 'f = open(p); yaml.load(s)' END)"
 _FILES = f"(SELECT file_id, path, {_PY} AS content FROM a_files)"
-query("t17_line_rules", "a_files", lambda f: t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES), f"SELECT file_id, n, {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)}")
-query("t21_matrix", "a_files", lambda f: t.technique_matrix(t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES), tuple(r[0] for r in t.LINE_RULES)), f"SELECT r AS title, count(title) AS n, CASE WHEN count(title) = 0 THEN 'PASS' ELSE 'FINDINGS' END AS status FROM (SELECT unnest([{', '.join(q(r[0]) for r in t.LINE_RULES)}]) AS r) LEFT JOIN (SELECT {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)}) ON r = title GROUP BY r")
+query("t17_line_rules", "a_files", lambda f: t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES), f"{_flat} (SELECT file_id, n, {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)})")
+_RULES = lambda f: t.line_findings(t.line_table(f.withColumn("content", F.expr(_PY))), t.LINE_RULES).select("file_id", "n", F.col("rule").alias("title"))
+query(
+    "t21_matrix", "a_files", lambda f: t.technique_matrix(_RULES(f), tuple(r[0] for r in t.LINE_RULES)),
+    f"SELECT r AS title, count(rule) AS n, CASE WHEN count(rule) = 0 THEN 'PASS' ELSE 'FINDINGS' END AS status FROM (SELECT unnest([{', '.join(q(r[0]) for r in t.LINE_RULES)}]) AS r) LEFT JOIN (SELECT f.rule AS rule FROM (SELECT {_hits(t.LINE_RULES)} FROM {_LINES.format(_FILES)})) ON r = rule GROUP BY r",
+)
 _DEP = "concat(CASE file_id % 4 WHEN 0 THEN 'numpy>=1.2' WHEN 1 THEN 'numpy>=1.2,<2' WHEN 2 THEN 'pandas==1.*' ELSE 'x==1.0' END, '')"
 query("t18_dependencies", "a_files", lambda f: t.floating_dependencies(t.line_table(f.select("file_id", F.expr("if(file_id % 3 = 0, 'a/requirements-dev.txt', path)").alias("path"), F.expr(_DEP).alias("content")))), "SELECT file_id, 1::BIGINT AS n, CASE file_id % 4 WHEN 0 THEN 'numpy' ELSE 'pandas' END AS name, CASE file_id % 4 WHEN 0 THEN 'floating' ELSE 'wildcard' END AS kind FROM a_files WHERE file_id % 3 = 0 AND file_id % 4 IN (0, 2)")
 _LOOP = "concat('for x in y:', repeat(concat(chr(10), '  pass'), cast(file_id % 10 as int)), chr(10), '  db.query(x)', chr(10), 's += ''a''', chr(10), 's += ''b''')"

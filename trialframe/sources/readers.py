@@ -92,10 +92,10 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
 def cache(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a generation cache with its header; broken JSON, no entries, or repeated ids are errors."""
     doc = spark.read.schema(schemas.CACHE + ", _corrupt_record string").option("multiLine", True).json(path)
-    head = doc.select("schema", "model", "dataset_sha256", F.col("_corrupt_record").isNotNull().alias("corrupt"), F.col("entries").isNull().alias("none")).first()
-    if head is None or head["corrupt"]:
+    heads = doc.agg(F.count("*").alias("n"), F.bool_or(F.col("_corrupt_record").isNotNull()).alias("corrupt"), F.bool_or(F.col("entries").isNull() | F.col("schema").isNull()).alias("none")).first()
+    if not heads["n"] or heads["corrupt"]:
         raise BadInput("the cache is not JSON of its schema")
-    if head["none"] or head["schema"] is None:
+    if heads["none"]:
         raise BadInput("the cache lacks its structure")
     rows = doc.select("model", "dataset_sha256", F.explode("entries").alias("e")).select("model", "dataset_sha256", "e.*")
     again = rows.groupBy("task_id").count().filter("count > 1 or task_id is null").limit(1).collect()
@@ -180,7 +180,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an append-only log; blank, broken and cut-off lines are none. ``ord`` is the order of writing within files by name."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    """Entries of an append-only log; blank, broken and cut-off lines are none. ``ord`` is the order of writing: files as they were written, then places in them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     parsed = lines.withColumn("v", F.from_json("value", schemas.TRAJECTORY)).filter("v.task_id is not null")
-    return parsed.select(F.struct("file", "block", "at").alias("ord"), "v.*")
+    return parsed.select(F.struct("modified", "file", "block", "at").alias("ord"), "v.*")

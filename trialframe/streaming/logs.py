@@ -42,6 +42,6 @@ def start_upsert(rows: DataFrame, target: str, checkpoint: str, key: list[str],
 
 
 def output_tail(spark: SparkSession, folder: str, size: int = 200) -> DataFrame:
-    """The last lines of output files, by file and place; a top-n over what has landed."""
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return lines.orderBy(F.desc("file"), F.desc("at")).limit(size).orderBy("file", "at").select("value")
+    """The last lines of output files, files as they were written, then places in them; a top-n over what has landed."""
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.orderBy(F.desc("modified"), F.desc("file"), F.desc("block"), F.desc("at")).limit(size).orderBy("modified", "file", "block", "at").select("value")
