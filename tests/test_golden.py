@@ -145,9 +145,6 @@ def test_scanners():
     assert scanners.last_python("plain") == ("plain", "", False)
     assert scanners.line_diff("", "a\nb") == (2, 0, 0) and scanners.line_diff("a\nb\nc", "a\nx\nc") == (1, 1, 2)
     assert scanners.complexity("def f(x):\n  return [y for y in x if y and x or y]") == (4.0, 4, 0, 0) and scanners.complexity("def (") == (0.0, 0, 0, 0)
-    with pytest.raises(KeyError):
-        scanners.render("{a}", {}, ("a",))
-    assert scanners.render("{a} {b}", {"a": "{b}", "b": "x"}, ("a",)) == "{b} {b}"
     assert scanners.closed_json('x {"a": """q"r""", "b": [1') == '{"a": "q\\"r", "b": [1]}' and scanners.closed_json("none") is None
     long = "def f(a):\n    \"\"\"Raises an error.\"\"\"\n" + "    x = 1\n" * 31
     assert {x for x, _ in scanners.function_findings(long)} >= {"Long function", "Claims to raise", "Missing return type", "Untyped parameters"}
@@ -179,3 +176,43 @@ def test_line_diff_is_the_longest_common_subsequence():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         same = table[-1][-1]
         assert scanners.line_diff("\n".join(a), "\n".join(b)) == (len(b) - same, len(a) - same, same)
+
+
+def test_envelopes():
+    files = '{"files": [{"name": "a.py", "content": """x = "1"\ny"""}, {"path": "p.toml"}, 3]}'
+    import json
+
+    want = [("a.py", "a.py", "python", 'x = "1"\ny'), ("file_2.py", "p.toml", "toml", "")]
+    for text in ("Groq 400: " + json.dumps({"error": {"failed_generation": files}}) + " end", json.dumps({"choices": [{"message": {"content": "Here: " + files}}]})):
+        assert [(f["name"], f["path"], f["language"], f["content"]) for f in scanners.enveloped_files(text)] == want
+    assert scanners.enveloped_files("no object") == [] and scanners.enveloped_files('{"error": "x"}') == [] and scanners.enveloped_files('{"files": null}') == []
+    assert scanners.enveloped_files("{" * 5000) == [] and scanners.enveloped_files('{"choices": []}') == []
+
+
+def test_prompts(spark):
+    from pyspark.sql import functions as F
+
+    from trialframe.functions import prompts, text
+
+    row = spark.createDataFrame([("{b}", "1 failed\nFAILED a/b.py:3 - assert x", 1)], "a string, out string, code int")
+    assert row.select(prompts.filled("{a} {b c} {d}", {"a": F.col("a"), "b c": "{a}"})).first()[0] == "{b} {a} {d}"
+    with pytest.raises(ValueError):
+        prompts.filled("{a}", {"x": "1"})
+    for mode in ("intervenor", "nonsense"):
+        with pytest.raises(ValueError):
+            prompts.repair_prompt(mode, {}, *(F.lit("") for _ in range(6)), 1)
+    status, details, issues = row.select(*text.pytest_report("out", "code", F.lit(None))).first()
+    assert (status, details) == ("FAIL", "1 test(s) failed, 0 passed") and [tuple(i) for i in issues] == [("a/b.py", 3, "FAILED a/b.py:3 - assert x")]
+    with pytest.raises(Exception, match="no tests"):
+        row.select(text.test_preview("a")).collect()
+
+
+def test_audit(spark):
+    from trialframe.functions import audit
+
+    files = spark.createDataFrame([
+        (1, "a.py", "import os\nimport re\nre.x(open(p))"), (2, "pkg/__init__.py", "open(p)"), (3, "b.py", None), (4, "c.py", ""), (5, "d.py", 'x = "\\d"\nx = r"\\d"\n# "\\d"\nfrom foo import y'),
+    ], "file_id long, path string, content string")
+    got = sorted((r["file_id"], r["n"] or 0, r["title"]) for r in audit.static_findings(files).collect())
+    assert got == [(1, 0, audit.MAIN_GUARD[0]), (1, 1, "Unused import 'os' (F401)"), (5, 1, audit.ESCAPE[0]), (5, 4, "Unverified import 'foo'")]
+    assert [r["passed"] for r in audit.checklist(audit.static_findings(files.filter("file_id = 4"))).orderBy("ord").collect()] == [True] * 15

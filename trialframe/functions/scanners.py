@@ -152,34 +152,8 @@ def loop_concatenations(code: str) -> list[int]:
     return out
 
 
-def render(template: str, values: dict[str, str], declared: tuple[str, ...]) -> str:
-    """Declared variables in one pass; what they bring in is not looked at again; a missing one is an error."""
-    missing = [d for d in declared if d not in values]
-    if missing:
-        raise KeyError(f"no value for {missing[0]}")
-    return re.sub(r"\{(\w+)\}", lambda m: values[m[1]] if m[1] in declared else m[0], template)
-
-
-#: Prompt modes and the parts that each of them has.
-MODES = {
-    "dou": ("critique", "feedback", "checklist"), "dou_no_bt": ("critique", "feedback"), "generic": (), "evidence_only": ("evidence",), "taxonomy_only": ("category", "hint"),
-    "full": ("evidence", "category", "hint", "lessons"), "intervenor": ("plan",), "dou_intervenor": ("critique", "feedback", "checklist", "plan"),
-}
-
-
-def prompt_blocks(mode: str, parts: dict[str, list[str]], iteration: int = 1) -> str:
-    """Tagged parts of a mode that have content: three pieces of evidence at most, the last two lessons from the second iteration on."""
-    out = []
-    for name in MODES[mode]:
-        items = parts.get(name, [])
-        items = items[:3] if name == "evidence" else (items[-2:] if iteration >= 2 else []) if name == "lessons" else items
-        if items:
-            out.append(f"<{name}>\n" + "\n".join(items) + f"\n</{name}>")
-    return "\n\n".join(out)
-
-
 def closed_json(text: str) -> str | None:
-    """The first JSON object in a reply, with triple quotes made strings and open strings and brackets closed; null if it still does not parse."""
+    """The first JSON object in a reply, with triple quotes made strings and open strings and brackets closed; null if it still does not parse."""
     text = re.sub(r'"""(.*?)"""', lambda m: json.dumps(m[1]), text, flags=re.S)
     start = text.find("{")
     if start < 0:
@@ -206,6 +180,55 @@ def closed_json(text: str) -> str | None:
         return None
 
 
+def _first_object(text: str) -> dict | None:
+    """The object from the first brace to the one that balances it, or to the end; null if that does not parse."""
+    start = text.find("{")
+    if start < 0:
+        return None
+    depth, end = 0, len(text)
+    for m in re.finditer(r"[{}]", text[start:]):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            end = start + m.end()
+            break
+    try:
+        found = json.loads(text[start:end])
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _at(value, *path):
+    """The part of a JSON value at a path, null where it has none."""
+    for key in path:
+        if isinstance(value, dict) and isinstance(key, str):
+            value = value.get(key)
+        elif isinstance(value, list) and isinstance(key, int) and key < len(value):
+            value = value[key]
+        else:
+            return None
+    return value
+
+
+def enveloped_files(text: str) -> list[dict[str, str]]:
+    """Files of a reply: its own object, else the one in ``error.failed_generation``, else in ``choices[0].message.content``; the first that has ``files``. Missing fields get their defaults; none for a reply without files."""
+    outer = _first_object(re.sub(r"^(Groq|OpenAI|Anthropic|Gemini|DeepSeek)\s+\d+:\s*", "", text))
+    unquoted = lambda x: re.sub(r'"content"\s*:\s*"""(.*?)"""', lambda m: '"content": ' + json.dumps(m[1]), x, flags=re.S)
+    inner = (_at(outer, "error", "failed_generation"), _at(outer, "choices", 0, "message", "content"))
+    for found in (outer, *(_first_object(unquoted(x)) for x in inner if isinstance(x, str))):
+        files = _at(found, "files")
+        if found is not None and "files" in found:
+            break
+    else:
+        return []
+    out = []
+    for i, f in enumerate(x for x in files or () if isinstance(x, dict)):
+        name = f.get("name") or f"file_{i + 1}.py"
+        path = f.get("path") or name
+        out.append({"name": name, "path": path, "language": "toml" if name.endswith(".toml") or path.endswith(".toml") else "python", "category": f.get("category") or "other", "description": f.get("description") or "Generated file", "content": f.get("content") or ""})
+    return out
+
+
 def _udf(function, kind: str):
     return F.pandas_udf(lambda s: pd.Series([None if x is None else function(x) for x in s], dtype=object), kind)
 

@@ -45,6 +45,17 @@ def test_count(text: str) -> Column:
     return F.regexp_count(_c(text), F.lit(r"def\s+test_\w+\s*\(")).cast("long")
 
 
+def test_preview(text: str, tests: int = 5, width: int = 500) -> Column:
+    """The lines before the test after the first ``tests``, long ones cut, with a note if more tests follow; a suite without tests is an error."""
+    lines = F.split(_c(text), r"\r\n|\r|\n")
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.ltrim(F.get(lines, i - 1)).startswith("def test_"))
+    end = F.coalesce(F.get(starts, F.lit(tests)) - 1, F.size(lines))
+    cut = F.transform(F.slice(lines, F.lit(1), end), lambda x: F.when(F.length(x) <= width, x).otherwise(F.concat(F.substring(x, 1, width), F.lit(" # ... preview truncated"))))
+    note = F.when(F.size(starts) > tests, F.lit(f"# ... [Remaining tests omitted from preview. {tests}+ tests verified in sandbox]"))
+    shown = F.rtrim(F.array_join(F.array_compact(F.concat(cut, F.array(note))), "\n"))
+    return F.when(test_count(text) > 0, F.regexp_replace(shown, r"\s+\z", "")).otherwise(F.raise_error(F.lit("the suite has no tests")).cast("string"))
+
+
 def line_metrics(text: str) -> tuple[Column, Column, Column]:
     """Non-blank lines, comment lines, and comments in percent of lines to one decimal."""
     lines = F.filter(F.split(_c(text), "\n"), lambda x: x.rlike(r"\S"))
@@ -94,8 +105,8 @@ SECRET_FINDING = ("CRITICAL", "detect-secrets / gitleaks / Bandit B105")
 SECRET_RULES = tuple((title, *SECRET_FINDING, (pattern,), (), None) for title, pattern, _ in SECRETS)
 
 
-def line_findings(lines: DataFrame, rules: tuple) -> DataFrame:
-    """A row for each line and rule that it breaks; the rules are one array of conditions, so lines are read once."""
+def line_findings(lines: DataFrame, rules: tuple, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each line and rule that it breaks, with the columns to ``keep``; the rules are one array of conditions, so lines are read once."""
     hits = []
     for name, severity, rule_id, needs, excludes, path in rules:
         hit = reduce(lambda a, b: a & b, [*(F.col("line").rlike(p) for p in needs), *(~F.col("line").rlike(p) for p in excludes), *([F.col("path").rlike(path)] if path else [])])
@@ -105,7 +116,7 @@ def line_findings(lines: DataFrame, rules: tuple) -> DataFrame:
         if "{word}" in name:
             title = F.replace(title, F.lit("{word}"), F.regexp_extract("line", needs[0], 1))
         hits.append(F.when(hit, F.struct(title.alias("title"), F.lit(severity).alias("severity"), F.lit(rule_id).alias("rule_id"), F.lit(name).alias("rule"))))
-    return lines.select("file_id", "n", F.explode(F.array_compact(F.array(*hits))).alias("f")).select("file_id", "n", "f.*")
+    return lines.select("file_id", "n", *keep, F.explode(F.array_compact(F.array(*hits))).alias("f")).select("file_id", "n", "f.*", *keep)
 
 
 def floating_dependencies(lines: DataFrame) -> DataFrame:
@@ -169,17 +180,42 @@ def pytest_counts(text: str) -> tuple[Column, Column, Column]:
     return p, f, rate(p, p + f)
 
 
-def mypy_line(text: str) -> tuple[Column, Column, Column]:
-    """File, line and message of an error line."""
-    part = lambda k: F.regexp_extract(_c(text), r"^([^:\n]+):(\d+): error: (.*)$", k)
-    return F.nullif(part(1), F.lit("")), F.nullif(part(2), F.lit("")).cast("long"), F.nullif(part(3), F.lit(""))
+def pytest_report(text: str, exit_code: str, errors: str, most: int = 10) -> tuple[Column, Column, Column]:
+    """Status, details and issues (file, line, message) of a test run. No tests (5) and skipped ones are SKIP; only a failed run has issues, ``most`` at most."""
+    out, code, late = _c(text), _c(exit_code), F.lower(F.coalesce(_c(errors), F.lit(""))).contains("timed out")
+    n = lambda word, other: F.coalesce(F.nullif(F.regexp_extract(out, rf"(\d+)\s+{word}", 1), F.lit("")), F.lit(other))
+    skipped = out.rlike(r"\d+\s+(?:skipped|xfailed)")
+    status = F.when((code < 0) & ~late, "ERROR").when(code == 0, F.when(skipped, "SKIP").otherwise("PASS")).when(code == 5, "SKIP").otherwise("FAIL")
+    passed = F.when(out.rlike(r"\d+\s+passed"), F.concat(n("passed", ""), F.lit(" test(s) passed")))
+    failed = F.when(late, F.lit("The execution of the code has exceeded the time limit (timeout)")).otherwise(F.concat(n("failed", "?"), F.lit(" test(s) failed, "), n("passed", "0"), F.lit(" passed")))
+    details = F.when(status == "FAIL", failed).when(code == 5, F.lit("No test functions found in generated code")).when(status == "PASS", passed)
+    place = lambda x, k: F.nullif(F.regexp_extract(x, r"([\w/\\][\w./\\]+\.py)(?::(\d+))?", k), F.lit(""))
+    lines = F.slice(F.filter(F.split(out, "\n"), lambda x: x.rlike("FAILED|ERROR|assert")), 1, most)
+    issues = F.transform(lines, lambda x: F.struct(F.coalesce(place(x, 1), F.lit("")).alias("file"), place(x, 2).cast("long").alias("line"), F.trim(x).alias("message")))
+    return status, details, F.when(status == "FAIL", issues)
+
+
+def mypy_findings(text: str, most: int = 5) -> Column:
+    """(file, line, signal, message) of the first ``most`` error lines of a report."""
+    pattern = r"^([^:\n]+\.py):(\d+):(?:\d+:)?\s*error:\s*(.*?)(?:\s+\[([\w-]+)\])?\s*$"
+    lines = F.filter(F.transform(F.split(_c(text), "\n"), F.trim), lambda x: x.rlike(pattern))
+    part = lambda x, k: F.regexp_extract(x, pattern, k)
+    code = lambda x: F.coalesce(F.nullif(part(x, 4), F.lit("")), F.lit("error"))
+    return F.transform(F.slice(lines, 1, most), lambda x: F.struct(F.replace(part(x, 1), F.lit("\\"), F.lit("/")).alias("file"), part(x, 2).cast("long").alias("line"), F.concat(F.lit("mypy:"), code(x)).alias("signal"), part(x, 3).alias("message")))
 
 
 def collected(text: str) -> Column:
-    """Number of collected tests: as stated, else by test ids, else by definitions."""
-    stated = F.coalesce(F.nullif(F.regexp_extract(_c(text), r"collected (\d+) items?", 1), F.lit("")), F.nullif(F.regexp_extract(_c(text), r"(\d+) items? collected", 1), F.lit(""))).cast("long")
+    """Number of collected tests: as stated, else, if that is none, by test ids, else by definitions."""
+    stated = lambda k: F.nullif(F.regexp_extract(_c(text), r"(?i)(?:collected\s+(\d+)\s+(?:tests?|items?)|(\d+)\s+(?:tests?|items?)\s+collected)", k), F.lit(""))
     count = lambda p: F.nullif(F.regexp_count(_c(text), F.lit(p)), F.lit(0)).cast("long")
-    return F.coalesce(stated, count(r"::test_\w+"), count(r"def test_"), F.lit(0))
+    return F.coalesce(F.nullif(F.coalesce(stated(1), stated(2)).cast("long"), F.lit(0)), count(r"::test_[a-zA-Z0-9_]+"), count(r"(?m)^\s*def\s+test_[a-zA-Z0-9_]+"), F.lit(0).cast("long"))
+
+
+def passed_on_stub(text: str) -> Column:
+    """Names of the tests that a run against a stub reports as passed."""
+    lines = F.filter(F.split(_c(text), r"[\r\n]+"), lambda x: F.upper(x).contains("PASSED") & x.contains("test_"))
+    name = lambda x, p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
+    return F.transform(lines, lambda x: F.coalesce(name(x, r"::(test_[a-zA-Z0-9_]+)"), name(x, r"\b(test_[a-zA-Z0-9_]+)\b(?!\.py)"), F.trim(x)))
 
 
 def whole_json(text: str) -> Column:
