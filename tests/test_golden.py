@@ -92,8 +92,6 @@ def test_a_signal_must_match_as_a_whole(spark):
 
 
 def test_taxonomy_is_valid_and_portable():
-    assert classify.taxonomy_errors() == []
-    assert classify.taxonomy_errors(rules=(("R1", "a", None, "Z.1", 1.0),)) == ["rule targets"]
     assert all(classify.portable(p) for r in RULES for p in r[1:3] if p) and not classify.portable(r"(?=a)") and not classify.portable(r"a\1")
 
 
@@ -216,3 +214,73 @@ def test_audit(spark):
     got = sorted((r["file_id"], r["n"] or 0, r["title"]) for r in audit.static_findings(files).collect())
     assert got == [(1, 0, audit.MAIN_GUARD[0]), (1, 1, "Unused import 'os' (F401)"), (5, 1, audit.ESCAPE[0]), (5, 4, "Unverified import 'foo'")]
     assert [r["passed"] for r in audit.checklist(audit.static_findings(files.filter("file_id = 4"))).orderBy("ord").collect()] == [True] * 15
+
+
+def test_definition():
+    import copy
+    import json
+
+    from trialframe import definition as d
+    from trialframe.taxonomy import CATEGORIES
+
+    entry = lambda i, p: {"id": i, "primary": i[0], "name": "n", "priority": p, "auto_assignable": i not in d.MANUAL, "repair_hint": "h", "not_assigned_reason": "r"}
+    good = {
+        "schema": d.SCHEMA, "version": "1.0.0", "primary_types": [entry(p, 1) for p in d.PRIMARY_TYPES], "categories": [entry(c, i + 1) for i, c in enumerate(CATEGORIES)],
+        "unmapped": {"id": "U", "name": "n", "priority": 13, "primary_state": "C", "repair_hint": "h"}, "checklist": ["x"] * 10,
+        "rules": [{"id": "R", "category": "A.1", "confidence": 1, "match": {"signal": "a", "message": None}}], "prompts": {p: {"variables": ["a b"], "text": "{a b}"} for p in d.PROMPTS},
+    }
+    assert d.parsed(json.dumps(good)) == good
+    for text in ("", "{", "[]"):
+        with pytest.raises(d.BadDefinition):
+            d.parsed(text)
+
+    def bad(place, change):
+        x = copy.deepcopy(good)
+        change(x)
+        with pytest.raises(d.BadDefinition) as e:
+            d.parsed(json.dumps(x))
+        assert e.value.place == place
+
+    bad("version", lambda x: x.update(version="2", checklist=[]))  # the first broken rule counts
+    bad("$.rules[0].confidence", lambda x: x["rules"][0].update(confidence="1"))
+    bad("$.rules[0].match.other", lambda x: x["rules"][0]["match"].update(other=1))
+    bad("$.unmapped.name", lambda x: x["unmapped"].pop("name"))
+    bad("categories[1].id", lambda x: x["categories"][1].update(id="A.1"))
+    bad("categories", lambda x: x["categories"][0].update(priority=2))
+    bad("categories", lambda x: (x["categories"][0].update(priority=12), x["categories"][11].update(priority=1)))
+    bad("unmapped.priority", lambda x: x["unmapped"].update(priority=3))
+    bad("primary_types[3].auto_assignable", lambda x: x["primary_types"][3].update(auto_assignable=True))
+    bad("categories[0].not_assigned_reason", lambda x: x["categories"][0].update(auto_assignable=False, not_assigned_reason=" "))
+    bad("checklist", lambda x: x["checklist"].pop())
+    bad("rules[0].category", lambda x: x["rules"][0].update(category="C.2"))
+    bad("rules[0].match.signal", lambda x: x["rules"][0]["match"].update(signal="(?=a)"))
+    bad("rules[0].match", lambda x: x["rules"][0].update(match={}))
+    bad("prompts.lesson", lambda x: x["prompts"]["lesson"].update(optional=True))
+    bad("prompts.tivr_repair.variables[0]", lambda x: x["prompts"]["tivr_repair"].update(text="none"))
+
+
+def test_guards(tmp_path):
+    import os
+
+    from trialframe.operators import catalog
+    from trialframe.sources import sinks
+
+    (tmp_path / "root" / "in").mkdir(parents=True)
+    root = str(tmp_path / "root")
+    os.symlink(tmp_path, tmp_path / "root" / "out")
+    assert catalog.guarded(root, "in/../in/a.json") == os.path.join(root, "in", "a.json") and catalog.guarded(root, "in\\b") == os.path.join(root, "in", "b")
+    for path in ("", " ", "/etc", "\\x", "C:x", "a\nb", "..", "in/../..", ".", "out/x", "out", "a./b", " a", "in/b "):
+        with pytest.raises(ValueError):
+            catalog.guarded(root, path)
+    seen = []
+    f = tmp_path / "x.json"
+    f.write_text("1")
+    for text in (None, None, "22"):
+        if text:
+            f.write_text(text)
+        assert sinks.described(str(f), lambda p: seen.append(p) or len(seen)) == (2 if text else 1)
+
+
+def test_report_metrics():
+    assert scanners.report_metrics("\n# a\ndef f(x):\n    return g(x) if x else 1\n\n") == (3, 2.0, 1, 33.3)
+    assert scanners.report_metrics("") == (0, 1.0, 0, 0.0) and scanners.report_metrics("def (") == (1, 1.0, 0, 0.0)

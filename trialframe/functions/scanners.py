@@ -83,6 +83,14 @@ def complexity(code: str) -> tuple[float, int, int, int]:
     return (round(sum(each) / len(each), 2) if each else 1.0), max(each, default=1), sum(isinstance(x, ast.Call) for x in ast.walk(tree)), len(names)
 
 
+def report_metrics(code: str) -> tuple[int, float, int, float]:
+    """Lines of the stripped text, mean complexity (1 for code without functions or that does not parse), calls, comment lines in percent to one decimal."""
+    lines = code.strip().splitlines()
+    n, comments = len(lines), sum(x.strip().startswith("#") for x in lines)
+    mean, _, calls, _ = complexity(code)
+    return n, mean or 1.0, calls, (2000 * comments + n) // (2 * n) / 10 if n else 0.0
+
+
 def line_diff(before: str, after: str) -> tuple[int, int, int]:
     """(added, removed, same) lines of a longest common subsequence; an empty text has no lines."""
     a, b = (x.split("\n") if x else [] for x in (before, after))

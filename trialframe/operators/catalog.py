@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +100,20 @@ def problems(settings: DataFrame, surface: str = "api") -> DataFrame:
 def iteration_count() -> Column:
     """Of the summary's configuration, else the manifest, else the most seen, else 0."""
     return F.coalesce("summary_k", "manifest_k", "seen_k", F.lit(0))
+
+
+def guarded(root: str, relative: str) -> str:
+    """The path of ``relative`` under the driver's folder ``root``; an error for absolute paths, drive letters, control and invalid characters, segments that start with a space or end with one or a dot, and whatever leads out by ``..`` or a link."""
+    if not root.strip() or not relative.strip():
+        raise ValueError("no path")
+    if re.search(r'[<>:"|?*\x00-\x1f\x7f-\x9f]', relative) or relative[0] in "/\\":
+        raise ValueError("not a relative path without drive letters or invalid characters")
+    parts = [p for p in re.split(r"[/\\]", relative) if p not in ("", ".")]
+    if any(p != ".." and (p[0] == " " or p[-1] in " .") for p in parts):
+        raise ValueError("a segment starts with a space or ends with a space or a dot")
+    top = os.path.abspath(root)
+    full = os.path.normpath(os.path.join(top, *parts))
+    inside = lambda path, folder: path != folder and os.path.commonpath([path, folder]) == folder
+    if not inside(full, top) or not inside(os.path.realpath(full), os.path.realpath(top)):
+        raise ValueError("leads out of the folder")
+    return full

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..taxonomy import CATEGORIES, LIBRARIES, PRIMARIES, RULES, UNMAPPED, WEB_LIBRARIES
+from ..taxonomy import LIBRARIES, PRIMARIES, RULES, UNMAPPED, WEB_LIBRARIES
 
 
 def portable(pattern: str) -> bool:
@@ -190,16 +190,3 @@ def token_estimate(*texts: str) -> Column:
     """(length of all texts + 3) / 4, whole; lengths are code points."""
     total = sum((F.length(F.coalesce(F.col(t), F.lit(""))) for t in texts), F.lit(0))
     return F.floor((total + 3) / 4)
-
-
-def taxonomy_errors(categories=CATEGORIES, rules=RULES) -> list[str]:
-    """C17: the first broken rule of a taxonomy, in order, or none: ids, priorities, bands, targets, patterns."""
-    if len(set(categories)) != len(categories) or not all(re.fullmatch(r"[ABC]\.[1-9]", c) for c in categories):
-        return ["category ids"]
-    if [c[0] for c in categories] != sorted(c[0] for c in categories):
-        return ["priorities are not in bands A, B, C"]
-    if len({r[0] for r in rules}) != len(rules):
-        return ["rule ids"]
-    if any(r[3] not in categories for r in rules):
-        return ["rule targets"]
-    return ["rule patterns"] if not all(portable(p) for r in rules for p in r[1:3] if p) else []

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.rates import maintainability, rate_text
 from ..operators import catalog as k
 from ..operators import sampling as s
+from ..operators.classify import portable
 from ..registry import query
 
+_PATTERNS = (r"a\d+[x-z]*", r"(a|b)\.py", r"(?:a)", r"(a)\1", r"a++", "\u00e9", r"\bdef\b")
+
 query("k1_listed", "a_runs", lambda d: k.listed(d).select("run_id", "place"), "SELECT run_id, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS place FROM a_runs WHERE regexp_matches(run_id, '^[A-Za-z0-9][A-Za-z0-9_.-]{0,99}$')")
 query("k2_status", "a_runs", lambda d: d.withColumn("has_manifest", F.col("n") % 2 == 1).withColumn("sidecar", F.expr("if(n = 14, 'starting', sidecar)")).select("run_id", k.status().alias("status")),
       "SELECT run_id, CASE WHEN active THEN 'running' WHEN sidecar IS NOT NULL AND n <> 14 THEN sidecar WHEN n % 2 = 1 THEN CASE WHEN completed THEN 'completed' ELSE 'failed' END WHEN has_summary THEN 'completed' ELSE 'failed' END AS status FROM a_runs")
@@ -36,8 +39,7 @@ query("t13_maintainability", "a_runs", lambda d: d.select("run_id", maintainabil
 
 query("s1_duplicates", "a_findings", lambda f: s.duplicate_ids(f.withColumnRenamed("message", "task_id")), "SELECT message AS task_id, count(*) AS n FROM a_findings GROUP BY message HAVING count(*) > 1")
 query("s4_tiers", "a_problem_runs", lambda p: s.of_tiers(p, ["INTRODUCTORY", "Interview"], "sub_tier").select("task_id", "sub_tier"), "SELECT task_id, sub_tier FROM a_problem_runs WHERE lower(sub_tier) IN ('introductory', 'interview')")
-query("s6_problem_list", "a_problem_runs a_files", lambda p, f: p.select(F.col("task_id").alias("id"), F.col("benchmark").alias("title"), "sub_tier").unionByName(f.select(F.col("file_id").alias("id"), F.col("path").alias("title")), allowMissingColumns=True), "SELECT task_id AS id, benchmark AS title, sub_tier FROM a_problem_runs UNION ALL SELECT file_id, path, NULL FROM a_files")
-query("s7_lookup", "a_runs", lambda d: s.lookup(d, "GERMANY".lower(), "run_id").select("run_id", "n"), "SELECT run_id, n FROM a_runs WHERE lower(run_id) = 'germany'")
+query("s7_lookup", "a_runs", lambda d: s.lookup(d, "nation_7", "run_id").select("run_id", "n"), "SELECT run_id, n FROM a_runs WHERE lower(run_id) = 'nation_7'")
 query("s15_suites", "a_files documents", lambda f, d: f.select("file_id", F.sha2("content", 256).alias("h")).join(d.select(F.sha2("text", 256).alias("h")).distinct(), "h").select("file_id", "h"), "SELECT file_id, sha256(content) AS h FROM a_files WHERE sha256(content) IN (SELECT sha256(text) FROM documents)")
 
 query("q1_cohort", "a_steps", lambda x: s.hashed_cohort(x.filter("s0 <> 'PASS'"), "task_id", 40, 7).select("task_id"), "SELECT task_id FROM a_steps WHERE s0 <> 'PASS' ORDER BY sha256('7:' || task_id) LIMIT 40")
@@ -48,3 +50,5 @@ query("q5_cases", "a_findings", lambda f: s.partitioned_cases(f.select(F.col("re
 query("q6_failed_suites", "a_findings", lambda f: f.filter("severity = 'CRITICAL'").select("report_id", "file").distinct(), "SELECT DISTINCT report_id, file FROM a_findings WHERE severity = 'CRITICAL'")
 query("q7_suite_text", "a_files", lambda f: f.select("file_id", s.case_literal("content").alias("literal")), "SELECT file_id, CASE WHEN length(content) > 4096 THEN 'sha256:' || sha256(content) ELSE '''' || replace(replace(replace(content, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n') || '''' END AS literal FROM a_files")
 query("q9_sorted", "a_problem_runs", lambda p: p.orderBy("benchmark", F.asc_nulls_first("sub_tier"), "task_id").select("task_id"), "SELECT task_id FROM a_problem_runs ORDER BY benchmark, sub_tier NULLS FIRST, task_id")
+query("r6_sample", "a_problem_runs", lambda p: p.sparkSession.createDataFrame([(x,) for x in s.exact_cohort(p.filter("passed_round <> 0"), "task_id", 1 << 30, 42)], "id string"), "SELECT task_id::VARCHAR AS id FROM a_problem_runs WHERE passed_round <> 0")
+query("c2_portable", "a_runs", lambda d: d.sparkSession.createDataFrame([(x, portable(x)) for x in _PATTERNS], "pattern string, portable boolean"), "SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in _PATTERNS) + "]) AS pattern, unnest([true, true, false, false, false, false, true]) AS portable")

@@ -9,7 +9,8 @@ from ..operators import trajectory as t
 from ..sources import readers, sinks
 from ..sources.shared import scratch
 from ..streaming import logs
-from ..registry import query
+from ..registry import SQL, query
+from . import reports
 
 
 def _landed(df, name, writer=lambda w, p: w.json(p)):
@@ -71,8 +72,7 @@ def _datasets(d):
     path = scratch(d.sparkSession, "datasets")
     d.select("run_id").orderBy("run_id").coalesce(1).write.json(path)
     # the format names its files .json; every one of them is a dataset here
-    files = d.sparkSession.read.format("binaryFile").load(path)
-    return files.select(F.size(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != "")).cast("long").alias("tasks"), F.sha2("content", 256).alias("sha256"))
+    return readers.datasets(d.sparkSession, path, "*.json").select("tasks", "sha256")
 
 
 query("s13_dataset", "a_runs", _datasets, "SELECT count(*) AS tasks, sha256(string_agg('{\"run_id\":\"' || run_id || '\"}' || chr(10), '' ORDER BY run_id)) AS sha256 FROM a_runs")
@@ -127,7 +127,46 @@ def _csv(p):
 
 query("r10_csv", "a_problem_runs", _csv, "SELECT replace(initial_bug_sub, 'A.1', '[REDACTED]') AS bug, count(*) AS n FROM a_problem_runs WHERE initial_bug_sub IS NOT NULL GROUP BY 1")
 query("r11_markdown", "a_problem_runs", lambda p: p.sparkSession.createDataFrame([(sinks.markdown("Bugs", r.bug_histogram(p).orderBy("bug")),)], "text string"), "SELECT '## Bugs' || chr(10) || chr(10) || '| bug | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || bug || ' | ' || n || ' |' || chr(10), '' ORDER BY bug) AS text FROM (SELECT initial_bug_sub AS bug, count(*) AS n FROM a_problem_runs WHERE initial_bug_sub IS NOT NULL GROUP BY 1)")
-query("r8_code_statistics", "a_files", lambda f: r.code_statistics(f.select(F.length("content").alias("chars"), F.size(F.split("content", "\n")).alias("lines")), ["chars", "lines"]), "SELECT round(avg(length(content)), 2) AS chars, round(avg(len(string_split(content, chr(10)))), 2) AS lines FROM a_files")
+#: Codes of which DuckDB can count everything: ifs, calls, comments and lines.
+_CODE = "concat('# a', repeat(concat(chr(10), '# b'), cast(task_id % 3 as int)), chr(10), 'def f(x):', repeat(concat(chr(10), '    if x:', chr(10), '        g(x)'), cast(task_id % {m} as int)), chr(10), '    return x')"
+_MEAN = "(SELECT task_id, len(l) AS loc, (1 + len(regexp_extract_all(x, '\\bif\\b')))::DOUBLE AS cc, len(regexp_extract_all(x, 'g\\(')) AS calls, (2000 * c + len(l)) // (2 * len(l)) / 10.0 AS comments FROM (SELECT task_id, x, string_split(x, chr(10)) AS l, len(regexp_extract_all(x, '#')) AS c FROM (SELECT task_id, {code} AS x FROM a_problem_runs WHERE task_id % {skip} > 0)))"
+
+
+def _codes(p, m, skip):
+    return r.code_metrics(p.select("task_id", F.expr(f"if(task_id % {skip} = 0, '', {_CODE.format(m=m)})").alias("code")), "task_id", "code")
+
+
+def _tables(p, x):
+    return r.report_tables(p, x, _codes(p, 4, 5), _codes(p, 5, 7), p.filter("passed_round <> 0 and task_id % 2 = 0"))
+
+
+_R8 = "SELECT unnest([" + ", ".join(f"'{n}'" for _, n in r.CODE_METRICS) + "]) AS metric, " + ", ".join("unnest([" + ", ".join(f"round(avg({s}.{m}), 2)" for m, _ in r.CODE_METRICS) + f"]) AS {n}" for s, n in (("g", "generated"), ("c", "canonical"))) + " FROM " + _MEAN.format(code=_CODE.format(m=4), skip=5) + " g JOIN " + _MEAN.format(code=_CODE.format(m=5), skip=7) + " c USING (task_id)"
+query("r8_code_statistics", "a_problem_runs", lambda p: r.code_statistics(_codes(p, 4, 5), _codes(p, 5, 7)), _R8)
+
+
+def _reread(name):
+    """The table of a report as its CSV file gives it back."""
+
+    def run(p, x):
+        one = _tables(p, x)[name]
+        path = scratch(p.sparkSession, name)
+        sinks.write_csv(one, path)
+        return p.sparkSession.read.schema(one.schema).csv(path, header=True)
+
+    return run
+
+
+def _document(p, x):
+    text = sinks.report_document(_tables(p, x), {"Run ID": "r"})
+    return p.sparkSession.createDataFrame([(text,)], "text string").select(F.explode(F.slice(F.split("text", r"(?m)^## "), 2, 9)).alias("s")).select(F.element_at(F.split("s", "\n"), 1).alias("section"), (F.regexp_count("s", F.lit(r"(?m)^\|")) - 2).cast("long").alias("n"))
+
+
+for _name, _sql in (("bug_distribution", "r4_bug_distribution"), ("repair_success_rate", "r5_cohorts"), ("bug_evolution_matrix", "r7_round_matrix"), ("token_and_cost_summary", "r9_tokens_time")):
+    query(f"r10_{_name}", "a_problem_runs a_rounds", _reread(_name))
+    SQL[f"r10_{_name}"] = SQL[_sql]
+query("r10_code_statistics", "a_problem_runs a_rounds", _reread("code_statistics"), _R8)
+query("r10_pass_rates", "a_problem_runs a_rounds", _reread("pass_rates"), f"SELECT x.*, p AS target, CASE WHEN n = s THEN round(pct_r0 - p, 1) END AS delta_r0, CASE WHEN n = s THEN round(pct_r2 - p, 1) END AS delta_r2 FROM ({reports._R2}) x JOIN (VALUES {reports._T}) t(g, p, s) ON g = grp")
+query("r11_document", "a_problem_runs a_rounds", _document, "SELECT unnest([" + ", ".join(f"'{t}'" for _, t in sinks.SECTIONS) + "]) AS section, unnest([7, 12, (SELECT 2 + count(DISTINCT initial_bug_primary) FROM a_problem_runs WHERE passed_round <> 0), 4, 4, 1]) AS n")
 query("w8_exported", "a_runs", lambda d: sinks.exported(d, "run_id", "k"), "SELECT '{\"run_id\":\"' || run_id || '\",\"k\":' || k || '}' AS json FROM a_runs")
 
 
@@ -176,3 +215,22 @@ def _progress(s):
 query("z2_progress", "a_states", _progress, "SELECT 'r' || (task_id % 5) AS run_id, arg_max(state, event_id) AS phase, lpad(max(event_id)::VARCHAR, 9, '0') AS updated_at FROM a_states GROUP BY 1")
 query("m2_rsr_big", "a_states_big", lambda s: t.rsr(t.tall(t.initially_failing(t.outcomes(s)), 4)),
       "SELECT i, num, den, ((2000 * num + den) // (2 * den)) / 10.0 AS pct FROM (SELECT k.i::BIGINT AS i, count(*) FILTER (p <= k.i) AS num, count(*) AS den FROM (SELECT task_id, min(CASE WHEN state = 'PASS' THEN i END) AS p FROM a_states_big GROUP BY task_id HAVING p IS NULL OR p > 0), range(1, 5) k(i) GROUP BY k.i)")
+
+
+def _problems(p):
+    spark, plus = _landed(p.filter("benchmark <> 'appsplus'").select(F.concat(F.lit("T/"), "task_id").alias("task_id"), F.lit("q").alias("prompt"), F.expr("if(task_id % 2 = 0, concat('f', task_id), null)").alias("entry_point"), F.lit("s").alias("canonical_solution")), "plus")
+    _, apps = _landed(p.filter("benchmark = 'appsplus'").select(F.col("task_id").cast("string").alias("problem_id"), F.col("sub_tier").alias("difficulty"), F.col("run_id").alias("prompt")), "apps")
+    return readers.problem_list(spark, {"HumanEval+": plus, "APPS+": apps})
+
+
+query("s6_problem_list", "a_problem_runs", _problems,
+      "SELECT CASE WHEN benchmark = 'appsplus' THEN task_id::VARCHAR ELSE 'T/' || task_id END AS id, CASE WHEN benchmark = 'appsplus' THEN run_id WHEN task_id % 2 = 0 THEN 'f' || task_id ELSE 'T/' || task_id END AS title, sub_tier AS tier, CASE WHEN benchmark = 'appsplus' THEN 'APPS+' ELSE 'HumanEval+' END AS benchmark FROM a_problem_runs")
+
+
+def _tail(f):
+    path = scratch(f.sparkSession, "output")
+    f.select(F.col("finding_id").cast("string")).coalesce(1).sortWithinPartitions(F.col("finding_id").cast("long")).write.text(path)
+    return logs.output_tail(f.sparkSession, path, 150).select(F.col("value").cast("long").alias("finding_id"))
+
+
+query("z4_output_tail", "a_findings", _tail, "SELECT finding_id FROM a_findings ORDER BY 1 DESC LIMIT 150")

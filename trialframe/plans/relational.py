@@ -11,7 +11,7 @@ from ..registry import query
 from ..taxonomy import REFERENCE_ROWS
 
 query("p2_search", "a_runs", lambda d: r.search(d, "Me", "run_id", "model", "regime").select("run_id"), "SELECT run_id FROM a_runs WHERE contains(lower(run_id), 'me') OR contains(lower(coalesce(model, '')), 'me') OR contains(lower(coalesce(regime, '')), 'me')")
-query("p3_search", "a_runs", lambda d: r.search(d, "an", "run_id", "regime").select("run_id"), "SELECT run_id FROM a_runs WHERE contains(lower(run_id), 'an') OR contains(lower(regime), 'an')")
+query("p3_search", "a_runs", lambda d: r.search(d, "RI", "run_id", "regime").select("run_id"), "SELECT run_id FROM a_runs WHERE contains(lower(run_id), 'ri') OR contains(lower(regime), 'ri')")
 query("p4_benchmark", "a_problem_runs", lambda p: p.filter("benchmark = 'mbppplus'").select("task_id"), "SELECT task_id FROM a_problem_runs WHERE benchmark = 'mbppplus'")
 _NORM = "regexp_replace(path, '^(\\./)+', '')"
 query("p5_test_files", "a_files", lambda f: f.select("file_id", r.normal_path().alias("path"), r.is_test_file().alias("is_test")), f"SELECT file_id, {_NORM} AS path, lower(category) = 'test' OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(test_.*|.*_test)\\.py$|^conftest\\.py$') AS is_test FROM a_files")

@@ -111,9 +111,9 @@ def objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.filter("v is not null and v._corrupt_record is null").select("file", "modified", "v.*").drop("_corrupt_record")
 
 
-def datasets(spark: SparkSession, folder: str) -> DataFrame:
+def datasets(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
     """Top-level JSON-lines files by name: lines that are not blank, and SHA-256 of the bytes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     lines = F.size(F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.trim(x) != ""))
     return files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("tasks")).orderBy("name")

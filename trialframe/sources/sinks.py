@@ -94,6 +94,25 @@ def markdown(title: str, rows: DataFrame, most: int = 1000) -> str:
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in got]) + "\n"
 
 
+#: The sections of a report, by the names of their files.
+SECTIONS = (
+    ("pass_rates", "1. Benchmark Pass Rates vs Paper DeepSeek-R1 Baseline"), ("bug_distribution", "2. Bug Distribution & Resolution (Taxonomy A.1 to C.4)"), ("repair_success_rate", "3. Repair Success Rate (RSR)"),
+    ("bug_evolution_matrix", "4. Bug Evolution Matrix (Figure 7: R0 -> R1 Transition)"), ("code_statistics", "5. Code Quality & Complexity vs Canonical Solutions"), ("token_and_cost_summary", "6. Resource Utilization & Token Costs"),
+)
+
+
+def report_document(tables: dict[str, DataFrame], heads: dict[str, str]) -> str:
+    """Title, what the run was, and the six sections."""
+    top = ["# Measured Benchmark Report", "", *(f"- **{k}**: `{v}`" for k, v in heads.items()), ""]
+    return "\n".join(top) + "\n" + "\n".join(markdown(title, tables[name]) for name, title in SECTIONS)
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, secrets: list[str] = ()) -> None:
+    """One CSV file for each table, in folders named like them."""
+    for name, _ in SECTIONS:
+        write_csv(tables[name], f"{folder}/{name}.csv", secrets)
+
+
 def exported(rows: DataFrame, *columns: str) -> DataFrame:
     """Each row as a JSON text."""
     return rows.select(F.to_json(F.struct(*(columns or rows.columns))).alias("json"))
@@ -104,6 +123,19 @@ def jdbc_append(rows: DataFrame, url: str, table: str) -> None:
     rows.write.format("jdbc").option("url", url).option("dbtable", table).mode("append").save()
 
 
+#: What ``described`` holds: path to (length, time of change) and description.
+_DESCRIBED: dict[str, tuple[tuple[int, int], object]] = {}
+
+
+def described(path: str, describe):
+    """K6: ``describe(path)`` of a driver's file, made anew only if its length or time of change differ from the last time."""
+    at = os.stat(path)
+    key = (at.st_size, at.st_mtime_ns)
+    if path not in _DESCRIBED or _DESCRIBED[path][0] != key:
+        _DESCRIBED[path] = (key, describe(path))
+    return _DESCRIBED[path][1]
+
+
 def no_sessions_left(spark: SparkSession) -> None:
     """Drops what catalog queries have cached (K6)."""
     spark.catalog.clearCache()
